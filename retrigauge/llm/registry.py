@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash
+from . import language, mixing, packing, simhash
 
 QUERIES = {
+    "op3_language_id": language.op3_language_id,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op9_simhash": simhash.op9_simhash,
