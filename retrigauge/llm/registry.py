@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, simhash
+from . import language, lines, mixing, packing, simhash
 
 QUERIES = {
+    "op10_line_dedup": lines.op10_line_dedup,
     "op3_language_id": language.op3_language_id,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op9_simhash": simhash.op9_simhash,
 }
-ORACLE_SQL = {"op6_mixing": mixing.SQL}
+ORACLE_SQL = {
+    "op6_mixing": mixing.SQL,
+    "op10_line_dedup": lines.SQL,
+}
