@@ -137,48 +137,55 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str
     return [x[2] for x in out], [x[0] for x in out]
 
 
-def predict(docs: DataFrame, model: Kernel | None, extra: tuple = ()) -> DataFrame:
-    """doc_id, the columns named in extra, lang_pred, score: a narrow map in batches of matrix products."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
-    keep = ["doc_id", *extra]
+def predict(docs: DataFrame, model: Kernel | None, into: str = "_language") -> DataFrame:
+    """docs with the struct `into` (lang_pred, score): a narrow map in batches of matrix products; only normalised texts go to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for pdf in batches:
-            texts = [x.encode("utf-8", "surrogatepass") for x in pdf["_n"]]
+        for batch in batches:
+            texts = [x.encode("utf-8", "surrogatepass") for x in batch]
             langs, scores, a = [], [], 0
             while a < len(texts):
                 b, size = a, 0
                 while b < len(texts) and b - a < 128 and (b == a or size + len(texts[b]) < 1 << 20):
                     size += len(texts[b])
                     b += 1
+                some = [bool(x.strip()) for x in texts[a:b]]
                 if model is None:
-                    best, top = [UND] * (b - a), [0.0] * (b - a)
+                    langs += [UND] * (b - a)
+                    scores += [0.0] * (b - a)
                 else:
                     s = model.scores(texts[a:b])
-                    at = s.argmax(axis=1)
-                    best = [model.langs[i] if x.strip() else UND for i, x in zip(at, texts[a:b], strict=True)]
-                    top = [float(np.clip((v + 1) / 2, 0, 1)) if x.strip() else 0.0 for v, x in zip(s[np.arange(b - a), at], texts[a:b], strict=True)]
-                langs += best
-                scores += top
+                    at, top = s.argmax(axis=1), np.clip((s.max(axis=1) + 1) / 2, 0, 1)
+                    langs += [model.langs[i] if ok else UND for i, ok in zip(at, some, strict=True)]
+                    scores += [float(v) if ok else 0.0 for v, ok in zip(top, some, strict=True)]
                 a = b
-            yield pdf[keep].assign(lang_pred=langs, score=scores)
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", lang_pred string, score double"
-    return docs.select(*keep, normalised().alias("_n")).mapInPandas(run, schema)
+    return docs.withColumn(into, scored(normalised()))
 
 
-def identify(docs: DataFrame, extra: tuple = ()) -> DataFrame:
+def identify(docs: DataFrame, into: str = "_language") -> DataFrame:
     """Fit on a bounded sample of labelled documents, then predict every document from its whole text.
 
     A text that is null or has no letter is `und` with score 0; so is everything if no document is
-    labelled. Repeated rows and ties of doc_id are predicted row by row.
+    labelled. Repeated rows and ties of doc_id are predicted row by row; other columns pass unchanged.
     """
-    return predict(docs, fitted(*training_sample(docs)), extra)
+    return predict(docs, fitted(*training_sample(docs)), into)
+
+
+#: Texts that score less in every language are noise, not language.
+LEAST_SCORE = 0.2
+
+
+def keep_language(docs: DataFrame) -> DataFrame:
+    """docs without those in no known language; all columns unchanged."""
+    found = identify(docs, "_language")
+    return found.where((F.col("_language.lang_pred") != UND) & (F.col("_language.score") >= LEAST_SCORE)).drop("_language")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = identify(docs)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", held_out().alias("held_out"), "_language.lang_pred", "_language.score")

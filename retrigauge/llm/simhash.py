@@ -93,9 +93,15 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; all columns unchanged."""
-    found = near_duplicates(fingerprints(docs)).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    """One document of each group of near-duplicates, that of least doc_id; all columns unchanged.
+
+    Documents with a null doc_id stay unless they share a fingerprint or link with one that has an
+    id. If doc_ids repeat, equal rows of (doc_id, text) are one document and stay once.
+    """
+    found = near_duplicates(fingerprints(docs)).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = written(found, "kept")
+    out = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if found.where("n > 1").limit(1).count() else out
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
