@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, lines, mixing, packing, simhash
+from . import attribution, fingerprint, language, lines, mixing, packing, simhash
 
 QUERIES = {
+    "op8_token_counts": attribution.op8_token_counts,
     "op4_fingerprints": fingerprint.op4_fingerprints,
     "op10_line_dedup": lines.op10_line_dedup,
     "op3_language_id": language.op3_language_id,

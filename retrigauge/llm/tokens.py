@@ -36,7 +36,8 @@ def _byte_letters() -> dict[str, int]:
 class WordTokenizer:
     """ids and character spans of words; spans count code points from the word's start."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spans: bool = False):
+        self.with_spans = spans
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
@@ -49,9 +50,9 @@ class WordTokenizer:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
+        self.span_start = self.span_end = np.zeros(0, np.int32)
 
-    @staticmethod
-    def _merger(path: str):
+    def _merger(self, path: str):
         """The same merges for tiktoken: a word's end is the byte 255, which no UTF-8 text has."""
         import tiktoken
 
@@ -66,8 +67,11 @@ class WordTokenizer:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             if model["vocab"][left + right] != 512 + i:
                 raise ValueError("merges are not in the order of ids")
-        ranks.pop(b"\xff", None)
         ranks[b"\xff"] = 1 << 20  # a lone end never remains: every byte merges with it first
+        self.width = np.zeros(1 + max(model["vocab"].values()), np.int64)
+        for body, at in ranks.items():
+            if at < len(self.width):
+                self.width[at] = len(body.removesuffix(b"\xff"))
         core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         return core._core_bpe.encode_single_piece
 
@@ -84,8 +88,16 @@ class WordTokenizer:
             return out
         return self.slow.encode(word, add_special_tokens=False).ids
 
-    def spans(self, word: str) -> list[tuple[int, int]]:
-        return self.slow.encode(word, add_special_tokens=False).offsets
+    def spans(self, word: str, ids: list[int]) -> list[tuple[int, int]]:
+        """[start, end) of each id in code points of the word; bytes of one character share its span."""
+        if not _PLAIN.fullmatch(word):
+            return self.slow.encode(word, add_special_tokens=False).offsets
+        ends = np.cumsum(self.width[ids])
+        starts = ends - self.width[ids]
+        if not word.isascii():
+            char = np.repeat(np.arange(len(word)), [len(c.encode()) for c in word])
+            return list(zip(char[starts].tolist(), (char[ends - 1] + 1).tolist(), strict=True))
+        return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
     def _places(self, words: list[str]) -> np.ndarray:
         """The place of each of these distinct words in the cache; unknown ones are encoded and added."""
@@ -100,22 +112,31 @@ class WordTokenizer:
             ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(new))) + len(self.flat)
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(encoded), np.uint32, int(ends[-1]) - len(self.flat))])
             self.starts = np.concatenate([self.starts, ends])
+            if self.with_spans:
+                every = np.array([p for w, x in zip(new, encoded, strict=True) for p in self.spans(w, x)], np.int32).reshape(-1, 2)
+                self.span_start = np.concatenate([self.span_start, every[:, 0]])
+                self.span_end = np.concatenate([self.span_end, every[:, 1]])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the texts in order; ids per word; first word of each text (and the end)."""
+        at, counts, first_words = self.places(texts)
+        return self.flat[at], counts, first_words
+
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As batch, but places in flat, span_start and span_end instead of ids; a leading blank makes an empty word."""
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         coded = split.flatten().dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         first_words = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         if not len(coded):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64), first_words
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), first_words
         places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         first = self.starts[places]
         counts = self.starts[places + 1] - first
         shift = np.repeat(first - np.cumsum(counts) + counts, counts)
-        return self.flat[shift + np.arange(len(shift))], counts, first_words
+        return shift + np.arange(len(shift)), counts, first_words
 
     def ids(self, text: str) -> np.ndarray:
         return self.batch([text])[0]
@@ -133,14 +154,14 @@ def chunks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, spans: bool = False) -> WordTokenizer:
     """One per Python worker."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    if (path, spans) not in _TOKENIZERS:
+        _TOKENIZERS[path, spans] = WordTokenizer(path, spans)
+    return _TOKENIZERS[path, spans]
 
 
 def default_path() -> str:
