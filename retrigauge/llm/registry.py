@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import attribution, fingerprint, language, lines, mixing, packing, simhash
+from . import attribution, fingerprint, language, lines, media, mixing, packing, simhash
 
 QUERIES = {
+    "op2_media": media.op2_media,
     "op8_token_counts": attribution.op8_token_counts,
     "op4_fingerprints": fingerprint.op4_fingerprints,
     "op10_line_dedup": lines.op10_line_dedup,
