@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import attribution, fingerprint, language, lines, media, mixing, packing, simhash
+from . import attribution, fingerprint, language, lines, media, mixing, packing, simhash, warc
 
 QUERIES = {
+    "op7_warc": warc.op7_warc,
     "op2_media": media.op2_media,
     "op8_token_counts": attribution.op8_token_counts,
     "op4_fingerprints": fingerprint.op4_fingerprints,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL = {
+    "op7_warc": warc.SQL,
     "op6_mixing": mixing.SQL,
     "op10_line_dedup": lines.SQL,
 }
