@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import attribution, fingerprint, language, lines, media, mixing, packing, simhash, warc
+from . import attribution, chat, fingerprint, language, lines, media, mixing, packing, simhash, warc
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op7_warc": warc.op7_warc,
     "op2_media": media.op2_media,
     "op8_token_counts": attribution.op8_token_counts,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL = {
+    "op1_chat_format": chat.SQL,
     "op7_warc": warc.SQL,
     "op6_mixing": mixing.SQL,
     "op10_line_dedup": lines.SQL,
