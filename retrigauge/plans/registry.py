@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import text_plans  # noqa: F401
+from .catalog import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["op70_exposure_summary"](spark, sf_dir)
