@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, scoring, text
 from .catalog import Tables, query
 
-DOT_TEXT = F.col("text")
+
 
 
 def digest(tokens: Column) -> Column:
@@ -30,17 +30,17 @@ WORDY = "regexp_replace(regexp_replace({0}, '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', '
 
 @query("op30_bm25_tokens", _sql(WS.format("lower(' ' || text)")))
 def op30(spark, d):
-    return counted(Tables(spark, d), text.bm25_tokens(F.col("title"), DOT_TEXT))
+    return counted(Tables(spark, d), text.bm25_tokens(F.col("title"), F.col("text")))
 
 
 @query("op31_overlap_set", _sql("list_sort(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+')))"))
 def op31(spark, d):
-    return counted(Tables(spark, d), F.array_sort(text.overlap_set(DOT_TEXT)))
+    return counted(Tables(spark, d), F.array_sort(text.overlap_set(F.col("text"))))
 
 
 @query("op32_overlap_list", _sql("regexp_extract_all(lower(text), '[A-Za-z0-9]+')"))
 def op32(spark, d):
-    return counted(Tables(spark, d), text.overlap_list(DOT_TEXT))
+    return counted(Tables(spark, d), text.overlap_list(F.col("text")))
 
 
 STOP = "[" + ", ".join(f"'{x}'" for x in text.STOPWORDS) + "]"
@@ -49,32 +49,32 @@ FOCUS = "(list_filter(list_filter(regexp_extract_all(lower({0}), '[A-Za-z][A-Za-
 
 @query("op33_focus_terms", f"SELECT item_id, array_to_string({FOCUS.format('text')}, ' ') AS focus FROM benchmark")
 def op33(spark, d):
-    return Tables(spark, d).benchmark.select("item_id", F.array_join(text.focus_terms(DOT_TEXT), " ").alias("focus"))
+    return Tables(spark, d).benchmark.select("item_id", F.array_join(text.focus_terms(F.col("text")), " ").alias("focus"))
 
 
 @query("op34_hyphen_tokens", _sql("regexp_extract_all(" + WORDY.format("text") + r", '\b[a-zA-Z0-9][a-zA-Z0-9\-]*[a-zA-Z0-9]\b|\b[a-zA-Z0-9]\b')"))
 def op34(spark, d):
-    return counted(Tables(spark, d), text.hyphen_tokens(DOT_TEXT))
+    return counted(Tables(spark, d), text.hyphen_tokens(F.col("text")))
 
 
 @query("op35_guard_tokens", _sql("list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')))"))
 def op35(spark, d):
-    return counted(Tables(spark, d), F.array_sort(text.guard_tokens(DOT_TEXT)))
+    return counted(Tables(spark, d), F.array_sort(text.guard_tokens(F.col("text"))))
 
 
 @query("op36_whitespace_tokens", _sql(WS.format("text")))
 def op36(spark, d):
-    return counted(Tables(spark, d), text.whitespace_tokens(DOT_TEXT))
+    return counted(Tables(spark, d), text.whitespace_tokens(F.col("text")))
 
 
 @query("op37_compact", "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents")
 def op37(spark, d):
-    return Tables(spark, d).corpus.select("doc_id", F.md5(text.compact(DOT_TEXT)).alias("digest"))
+    return Tables(spark, d).corpus.select("doc_id", F.md5(text.compact(F.col("text"))).alias("digest"))
 
 
 @query("op38_processors", f"SELECT item_id, array_to_string({WS.format('lower(text)')}, ' ') AS query FROM benchmark")
 def op38(spark, d):
-    return Tables(spark, d).benchmark.select("item_id", text.processed(DOT_TEXT, ["lowercase", "strip_whitespace"]).alias("query"))
+    return Tables(spark, d).benchmark.select("item_id", text.processed(F.col("text"), ["lowercase", "strip_whitespace"]).alias("query"))
 
 
 TOK = r"\b[a-zA-Z0-9][a-zA-Z0-9\-]*[a-zA-Z0-9]\b|\b[a-zA-Z0-9]\b"
@@ -83,7 +83,7 @@ CAP = "CASE WHEN len(regexp_extract_all(" + WORDY.format("{0}").replace("\\p{",
 
 @query("op39_token_cap", f"SELECT item_id, {CAP.format('text', 12)} AS capped, {CAP.format('text', 30)} AS safe FROM benchmark")
 def op39(spark, d):
-    return Tables(spark, d).benchmark.select("item_id", text.capped(DOT_TEXT, 12).alias("capped"), text.safe_capped(DOT_TEXT, 30).alias("safe"))
+    return Tables(spark, d).benchmark.select("item_id", text.capped(F.col("text"), 12).alias("capped"), text.safe_capped(F.col("text"), 30).alias("safe"))
 
 
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -122,7 +122,7 @@ TOK12 = r"\b[a-zA-Z0-9\-]+\b"
     SELECT item_id, CASE WHEN len(regexp_extract_all({WORDY.format('q')}, '{TOK12}')) >= 12 THEN q[1:length(regexp_extract({WORDY.format('q')}, '^(?s)((?:.*?(?:{TOK12})){{12}})', 1))] ELSE q END AS query FROM s""",
 )
 def op3b(spark, d):
-    return Tables(spark, d).benchmark.select("item_id", text.normalised_query(DOT_TEXT).alias("query"))
+    return Tables(spark, d).benchmark.select("item_id", text.normalised_query(F.col("text")).alias("query"))
 
 
 @query(
@@ -142,7 +142,7 @@ def op3c(spark, d):
     array_to_string(({WS.format('text')})[1:12], ' ') AS title_topic FROM benchmark""",
 )
 def op3d(spark, d):
-    return Tables(spark, d).benchmark.select("item_id", text.focus_topic(DOT_TEXT).alias("focus_topic"), text.title_topic(F.lit(""), DOT_TEXT).alias("title_topic"))
+    return Tables(spark, d).benchmark.select("item_id", text.focus_topic(F.col("text")).alias("focus_topic"), text.title_topic(F.lit(""), F.col("text")).alias("title_topic"))
 
 
 LEADS = ["the", "and", "in", "a", "of"]
@@ -157,7 +157,7 @@ def _leads(x: str) -> str:
 
 @query("op3E_focus_phrase", f"SELECT item_id, CASE WHEN {_leads('text')} <> '' THEN {_leads('text')} ELSE 'this topic' END AS focus FROM benchmark")
 def op3e(spark, d):
-    return Tables(spark, d).benchmark.select("item_id", text.focus_phrase(DOT_TEXT, F.lit(""), LEADS, "this topic").alias("focus"))
+    return Tables(spark, d).benchmark.select("item_id", text.focus_phrase(F.col("text"), F.lit(""), LEADS, "this topic").alias("focus"))
 
 
 COMPACT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -166,7 +166,7 @@ SEED = "(SELECT doc_id, string_split(regexp_replace(" + COMPACT + ", '([.!?])\\s
 
 @query("op3F_seed_text", f"SELECT doc_id, trim((CASE WHEN len(string_split(f, ' ')) > 28 THEN array_to_string(string_split(f, ' ')[1:28], ' ') ELSE f END)[1:220]) AS seed FROM {SEED}")
 def op3f(spark, d):
-    return Tables(spark, d).corpus.select("doc_id", text.seed_text(F.col("title"), DOT_TEXT).alias("seed"))
+    return Tables(spark, d).corpus.select("doc_id", text.seed_text(F.col("title"), F.col("text")).alias("seed"))
 
 
 @query("op3G_without_label", f"SELECT doc_id, CASE WHEN regexp_matches(x, '^[^:]*: ') AND len({WS.format(chr(39).join(['regexp_extract(x, ', '^([^:]*): ', ', 1)']))}) <= 4 THEN regexp_replace(x, '^[^:]*: ', '') ELSE x END AS text FROM (SELECT doc_id, source || ': ' || text AS x FROM documents)")
@@ -184,7 +184,7 @@ RESIDUE = [r"\$\$\$", r"%%%", r"<!--.*?-->"]
     array_to_string(string_split(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(text, '```[A-Za-z]*', '', 'g'), '\\s+', ' ', 'g')), '^["''`]+|["''`]+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ') AS rewrite FROM documents""",
 )
 def op3h(spark, d):
-    return Tables(spark, d).documents.select("doc_id", F.md5(text.without_residue(DOT_TEXT, RESIDUE)).alias("digest"), text.sanitised_rewrite(DOT_TEXT).alias("rewrite"))
+    return Tables(spark, d).documents.select("doc_id", F.md5(text.without_residue(F.col("text"), RESIDUE)).alias("digest"), text.sanitised_rewrite(F.col("text")).alias("rewrite"))
 
 
 @query(
@@ -193,7 +193,7 @@ def op3h(spark, d):
     '(?i)(?:\\s+(?:a|an|and|as|at|by|for|from|in|of|on|or|the|to|with))+$', '')) AS digest FROM documents""",
 )
 def op3i(spark, d):
-    return Tables(spark, d).documents.select("doc_id", F.md5(text.title_case_display(DOT_TEXT)).alias("digest"))
+    return Tables(spark, d).documents.select("doc_id", F.md5(text.title_case_display(F.col("text"))).alias("digest"))
 
 
 # --- hashing -------------------------------------------------------------------------------------
@@ -254,7 +254,7 @@ def op50(spark, d):
     from ..operators.joins import token_pairs
 
     t = Tables(spark, d)
-    return token_pairs(t.questions, t.corpus, 20).select("query_id", "doc_id", scoring.overlap_count(F.col("query"), F.col("title"), DOT_TEXT, 80).cast("long").alias("overlap"))
+    return token_pairs(t.questions, t.corpus, 20).select("query_id", "doc_id", scoring.overlap_count(F.col("query"), F.col("title"), F.col("text"), 80).cast("long").alias("overlap"))
 
 
 @query("op51_overlap_fraction", f"WITH {PAIRS_SQL} SELECT query_id, doc_id, round(shared / len({QSET}), 6) AS fraction FROM pairs")
@@ -262,7 +262,7 @@ def op51(spark, d):
     from ..operators.joins import token_pairs
 
     t = Tables(spark, d)
-    return token_pairs(t.questions, t.corpus, 20).select("query_id", "doc_id", F.round(scoring.overlap_fraction(F.col("query"), DOT_TEXT), 6).alias("fraction"))
+    return token_pairs(t.questions, t.corpus, 20).select("query_id", "doc_id", F.round(scoring.overlap_fraction(F.col("query"), F.col("text")), 6).alias("fraction"))
 
 
 @query(
@@ -275,7 +275,7 @@ def op52(spark, d):
     from ..operators.joins import token_pairs
 
     t = Tables(spark, d)
-    return token_pairs(t.questions, t.corpus, 20).select("query_id", "doc_id", scoring.focus_score(F.col("query"), F.col("title"), DOT_TEXT).alias("score"))
+    return token_pairs(t.questions, t.corpus, 20).select("query_id", "doc_id", scoring.focus_score(F.col("query"), F.col("title"), F.col("text")).alias("score"))
 
 
 @query(
@@ -294,7 +294,7 @@ def op54(spark, d):
     from ..operators.joins import token_pairs
 
     t = Tables(spark, d)
-    return token_pairs(t.questions, t.corpus, 20).select("query_id", "doc_id", scoring.lexical_alignment(F.col("query"), F.col("title"), DOT_TEXT).alias("score"))
+    return token_pairs(t.questions, t.corpus, 20).select("query_id", "doc_id", scoring.lexical_alignment(F.col("query"), F.col("title"), F.col("text")).alias("score"))
 
 
 def _lst(v) -> str:
@@ -331,4 +331,4 @@ _CUE = {k: " + ".join(f"contains(lower(text), '{c}')::INT" for c in v) for k, v
     SELECT doc_id, CASE WHEN most = 0 THEN 'none' {' '.join(f"WHEN {k}_ = most THEN '{k}'" for k in CUES)} END AS label FROM m""",
 )
 def op56(spark, d):
-    return Tables(spark, d).documents.select("doc_id", scoring.best_cue(DOT_TEXT, CUES, "none").alias("label"))
+    return Tables(spark, d).documents.select("doc_id", scoring.best_cue(F.col("text"), CUES, "none").alias("label"))
