@@ -132,7 +132,7 @@ def normalised_prose(text: Column) -> Column:
 def focus_topic(text: Column) -> Column:
     """The first four focus terms; with none, the text without closing blanks, ? and dots."""
     focus = F.slice(focus_terms(text), 1, 4)
-    return F.when(F.size(focus) > 0, F.array_join(focus, " ")).otherwise(F.regexp_replace(text, r"[ ?.]+$", ""))
+    return F.when(F.size(focus) > 0, F.array_join(focus, " ")).otherwise(F.regexp_replace(text, r"[ ?.]+\z", ""))
 
 
 def title_topic(title: Column, text: Column) -> Column:

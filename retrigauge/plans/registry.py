@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval_plans, text_plans  # noqa: F401
+from . import corpus_plans, retrieval_plans, text_plans  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES  # noqa: F401
 
 
