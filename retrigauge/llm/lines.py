@@ -18,17 +18,20 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def store(docs: DataFrame, side: str) -> DataFrame:
+    """docs with all columns renamed by side and their row key: equal but for names, so one shuffle of texts serves every join."""
+    return docs.select(row_key().alias(f"_k_{side}"), *[F.col(c).alias(f"_{side}_{c}") for c in docs.columns])
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """rk, doc_id, pos, line, h1, h2 of every line of min_chars or more; rows equal in doc_id and text are one document."""
+    """rk, doc_id, pos, line, n, h1, h2 of every line of min_chars or more; rows equal in doc_id and text are one document."""
     lines = docs.select(row_key().alias("rk"), "doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("pos", "line"))
-    return lines.where(F.char_length("line") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars)
+    return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """h1, h2, line, n and first, the place of the earliest occurrence (null doc_id last), combined before the shuffle."""
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "pos")
-    out = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    return out.where("n > 0 and first.pos >= 0")  # every reader needs every column, so that one shuffle serves them all
+def _piece(i: int, length: Column, start: Column, n: Column) -> Column:
+    return F.struct(F.lit(i).alias("i"), length.cast("int").alias("of"), start.cast("int").alias("start"), n.cast("int").alias("n"))
 
 
 def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -37,44 +40,69 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), F.lit(i - k) + extra), base + F.when(F.lit(i) >= F.lit(k) - extra, 1).otherwise(0)
 
 
-def _key(line: Column, i: int, length: Column, start: Column, n: Column) -> Column:
-    return F.xxhash64(F.lit(i), length, F.substring(line, start.cast("int") + 1, n.cast("int")))
+def index_pieces(n: Column, edits: int = EDITS) -> Column:
+    """The edits + 1 segments of a line of n characters."""
+    return F.array(*[_piece(i, n, *_segment(n, i, edits + 1)) for i in range(edits + 1)])
 
 
-def index_keys(line: Column, edits: int = EDITS) -> Column:
-    """One key for each of the edits + 1 segments: segment number, line length, segment text."""
-    length, k = F.char_length(line), edits + 1
-    return F.array(*[_key(line, i, length, *_segment(length, i, k)) for i in range(k)])
-
-
-def probe_keys(line: Column, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Column:
-    """structs(key, shorter): the substrings that can equal a segment of a line as long or up to `edits` shorter.
+def probe_pieces(n: Column, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Column:
+    """The substrings, other than the line's own segments, that can equal a segment of a line as long or up to `edits` shorter.
 
     A pair within the threshold leaves one segment whole, with at most i edits left of segment i (from
     0) and at most edits - i right of it; only starts that allow both are probed.
     """
-    length, k, out = F.char_length(line), edits + 1, []
+    out = []
     for shorter in range(edits + 1):
-        other = length - shorter
-        for i in range(k):
-            start, n = _segment(other, i, k)
+        other = n - shorter
+        for i in range(edits + 1):
+            start, size = _segment(other, i, edits + 1)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                at = start + shift
-                fits = (other >= min_chars) & (at >= 0) & (at + n <= length)
-                out.append(F.when(fits, F.struct(_key(line, i, other, at, n).alias("key"), F.lit(shorter > 0).alias("less"))))
+                if shorter or shift:
+                    at = start + shift
+                    out.append(F.when((other >= min_chars) & (at >= 0) & (at + size <= n), _piece(i, other, at, size)))
     return F.array_compact(F.array(*out))
 
 
-def near_pairs(unique: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def _hashed(pieces: Column) -> Column:
+    """One key for each piece: segment number, length of the line it is a segment of, its text."""
+    return F.transform(pieces, lambda p: F.xxhash64(p["i"], p["of"], F.substring(F.col("line"), p["start"] + 1, p["n"])))
+
+
+def distinct_lines(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, h2, own and others (keys), n and first, the place of the earliest occurrence (null doc_id last).
+
+    Keys are taken where lines are read, so that no line's text is shuffled for this; equal lines are
+    combined before the shuffle.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "pos")
+    out = lines.select("h1", "h2", "doc_id", "rk", "pos", "line", index_pieces(F.col("n"), edits).alias("ip"), probe_pieces(F.col("n"), edits, min_chars).alias("pp"))
+    out = out.select("h1", "h2", place.alias("place"), F.array(_hashed(F.col("ip")), _hashed(F.col("pp"))).alias("keys"))
+    out = out.groupBy("h1", "h2").agg(F.first("keys").alias("keys"), F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    return out.where("n > 0 and first.pos >= 0 and size(keys) > 0")  # every reader needs every column, so that one shuffle serves them all
+
+
+def near_pairs(docs: DataFrame, unique: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs of different lines at most `edits` apart: a1, a2, b1, b2 (hashes), first_a, first_b."""
-    index = unique.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    probes = unique.select(F.explode(probe_keys(F.col("line"), edits, min_chars)).alias("p"), F.col("h1").alias("a1"), F.col("h2").alias("a2")).select("p.key", "p.less", "a1", "a2")
-    once = F.col("less") | (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
-    found = probes.join(index, (probes["key"] == index["key"]) & once).select("a1", "a2", "b1", "b2").distinct()
-    side = lambda x: unique.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"))
-    both = found.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    rows = lambda k, x: unique.select(F.explode(F.get("keys", F.lit(k))).alias(f"key_{x}"), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"))
+    index, same, others = rows(0, "b"), rows(0, "a"), rows(1, "a")
+    apart = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
+    once = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
+    found = same.join(index, (F.col("key_a") == F.col("key_b")) & once).select("a1", "a2", "b1", "b2")
+    found = found.union(others.join(index, (F.col("key_a") == F.col("key_b")) & apart).select("a1", "a2", "b1", "b2")).distinct()
+    place = lambda x: unique.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("first").alias(f"first_{x}"))
+    found = found.join(place("a"), ["a1", "a2"]).join(place("b"), ["b1", "b2"])
+    for x in "ab":
+        held, pos = store(docs, x), F.col(f"first_{x}.pos")
+        # Tests of the form (pos < 0) | ... keep every column of docs in the join, as the last join needs
+        # them all, without becoming join keys or filters: the three joins then share one shuffle.
+        own = (F.col(f"_k_{x}") == F.col(f"first_{x}.rk")) & ((pos < 0) | F.col(f"_{x}_doc_id").eqNullSafe(F.col(f"first_{x}.doc_id")))
+        for c in docs.columns:
+            if c not in ("doc_id", "text"):
+                own = own & (F.col(f"_{x}_{c}").isNull() | (F.col(f"_{x}_{c}").cast("string") >= "") | (pos < 0))
+        line = F.coalesce(F.get(F.split(F.col(f"_{x}_text"), "\n"), pos), F.lit("")).alias(f"line_{x}")
+        found = found.join(held, own).select(*found.columns, line)
     # Spark's levenshtein with a threshold computes only the band of the matrix that the threshold leaves.
-    return both.where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a1", "a2", "b1", "b2", "first_a", "first_b")
+    return found.where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a1", "a2", "b1", "b2", "first_a", "first_b")
 
 
 def dropped(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -83,9 +111,9 @@ def dropped(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     "Earlier" is by doc_id (null last), row key and position. No line goes unless a line within the
     threshold precedes it, and of equal lines the first decides for all.
     """
-    lines = occurrences(docs, min_chars)
-    unique = distinct_lines(lines)
-    pairs = near_pairs(unique, edits, min_chars)
+    lines = occurrences(docs.select("doc_id", "text"), min_chars)
+    unique = distinct_lines(lines, edits, min_chars)
+    pairs = near_pairs(docs, unique, edits)
     later = F.col("first_a") > F.col("first_b")
     near = pairs.select(F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct().withColumn("near", F.lit(True))
     judged = unique.join(near, ["h1", "h2"], "left").where("n > 1 or near")
@@ -102,11 +130,11 @@ def cleaned(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     all go keeps an empty text. Repeated rows (equal doc_id and text) are judged as one and stay as many.
     """
     gone = dropped(docs, edits, min_chars).withColumnRenamed("rk", "_rk")
-    out = docs.withColumn("_k", row_key()).join(gone, F.col("_k") == F.col("_rk"), "left")
-    lines = F.split(F.col("text"), "\n")
+    out = store(docs, "z").join(gone, F.col("_k_z") == F.col("_rk"), "left")
+    lines = F.split(F.col("_z_text"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    text = F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n")
-    return out.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(text)).drop("_k", "_rk")
+    text = F.when(F.col("dropped").isNull(), F.col("_z_text")).otherwise(F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"_z_{c}").alias(c) for c in docs.columns], "dropped")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
