@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_or_empty
+from .shared import small_batches, table, text_or_empty
 
 #: Bins of a fingerprint and low-order bits that each keeps; words in a shingle.
 BINS, BITS, SHINGLE = 256, 8, 5
@@ -105,8 +105,8 @@ def with_following(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("_x", F.col("doc_id").cast("double"))
+    splits = [-math.inf, *sorted(set(cuts) or {0.0}), math.inf]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("_x", F.coalesce(F.col("doc_id").cast("double"), F.lit(math.nan)))
     # A binary search over the borders in the JVM; null ids get the bucket behind the last.
     rows = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(rows).select("doc_id", "text", F.col("_b").cast("int").alias("bucket"))
     firsts = sorted((r["bucket"], r["low"]) for r in rows.groupBy("bucket").agg(F.min("doc_id").alias("low")).collect())  # one row per bucket
@@ -152,6 +152,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_following(docs).mapInPandas(run, schema)
 
