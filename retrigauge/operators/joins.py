@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap_set
-from .sizes import small
+from .sizes import bounded, small
 
 
 def token_pairs(queries: DataFrame, corpus: DataFrame, least: int) -> DataFrame:
@@ -21,12 +21,15 @@ def token_pairs(queries: DataFrame, corpus: DataFrame, least: int) -> DataFrame:
     return pairs.join(small(queries), "query_id").join(corpus, "doc_id")
 
 
-def merged_corpus(clean: DataFrame, attacks: DataFrame, replace: bool = True) -> DataFrame:
-    """clean (without the originals that attacks replace, unless replace is False) and the attacks themselves."""
+def merged_corpus(clean: DataFrame, attacks: DataFrame, replace: bool = True, most: int | None = None) -> DataFrame:
+    """clean (without the originals that attacks replace, unless replace is False) and the attacks themselves.
+
+    most: a known bound of the number of attacks; without one they are counted.
+    """
     kept = clean
     if replace:
         gone = attacks.select(F.col("original_id").alias("doc_id")).distinct()
-        kept = clean.join(small(gone), "doc_id", "left_anti")
+        kept = clean.join(small(gone) if most is None else bounded(gone, most), "doc_id", "left_anti")
     return kept.unionByName(attacks.select(*clean.columns))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import lexical_alignment, unit
 from ..functions.text import bm25_tokens
 from .ranking import top_k
-from .sizes import small
+from .sizes import bounded, small
 
 # BM25 parameters.
 K1, B = 1.5, 0.75
@@ -70,11 +70,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25_scores(index: BM25Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score of all pairs with a common term, by an equi-join on terms."""
-    q = query_terms(queries).join(small(index.terms), "term")
+    q = query_terms(queries)
+    n = q.count()
+    q = index.terms.join(bounded(q, n), "term")  # at most one row for each row of q
     tf, dl = F.col("tf"), F.col("dl")
     mean = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
-    return index.postings.join(small(q), "term").groupBy("query_id", "doc_id").agg(total(part).alias("score"))
+    return index.postings.join(bounded(q, n), "term").groupBy("query_id", "doc_id").agg(total(part).alias("score"))
 
 
 def padded_top_k(scores: DataFrame, queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
@@ -245,9 +247,9 @@ def pool_size(k: int, given: int | None = None) -> int:
     return given or max(3 * k, 50)
 
 
-def hydrated(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
-    """ranked with title and text; ids that the corpus does not have are dropped."""
-    return corpus.join(small(ranked), "doc_id")
+def hydrated(ranked: DataFrame, corpus: DataFrame, most: int) -> DataFrame:
+    """ranked (no more than `most` rows: queries times k) with title and text; ids that the corpus does not have are dropped."""
+    return corpus.join(bounded(ranked, most), "doc_id")
 
 
 RERANKERS: dict[str, Callable[[Column, Column], Column]] = {"lexical": lambda query, text: lexical_alignment(query, F.lit(""), text)}
@@ -260,13 +262,13 @@ def named(registry: dict, name: str):
     return registry[name]
 
 
-def rerank(pool: DataFrame, queries: DataFrame, corpus: DataFrame, top_n: int = 10, scorer: str | Callable[[Column, Column], Column] = "lexical") -> DataFrame:
-    """pool(query_id, doc_id, rank) in the order of scorer(query, text), ties in the old order, first top_n.
+def rerank(pool: DataFrame, queries: DataFrame, corpus: DataFrame, most: int, top_n: int = 10, scorer: str | Callable[[Column, Column], Column] = "lexical") -> DataFrame:
+    """pool(query_id, doc_id, rank; no more than `most` rows) in the order of scorer(query, text), ties in the old order, first top_n.
 
     A scorer may be any function of Columns, a pandas UDF around a model included; it sees text without title.
     """
     score = named(RERANKERS, scorer) if isinstance(scorer, str) else scorer
-    rows = hydrated(pool.select("query_id", "doc_id", F.col("rank").alias("old_rank")), corpus.select("doc_id", "text")).join(small(queries), "query_id")
+    rows = hydrated(pool.select("query_id", "doc_id", F.col("rank").alias("old_rank")), corpus.select("doc_id", "text"), most).join(small(queries), "query_id")
     scored = rows.select("query_id", "doc_id", "old_rank", score(F.col("query"), F.col("text")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "old_rank")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)

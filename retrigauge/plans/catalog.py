@@ -39,3 +39,7 @@ class Tables:
     @property
     def questions(self) -> DataFrame:
         return self.benchmark.selectExpr("item_id AS query_id", "text AS query")
+
+    @property
+    def question_count(self) -> int:
+        return self.benchmark.count()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import context, guards, joins, judge, qa, ranking, select, signals, splice
-from ..operators.sizes import small
+from ..operators.sizes import bounded, small
 from ..sources import io
 from .catalog import Tables, query
 from .retrieval_plans import BM25_SQL, K, POOL, QRELS, bm25, qrels, targeted, traced, vectors
@@ -138,7 +138,7 @@ def canary_corpus(t: Tables) -> DataFrame:
     best = ranking.top_k(qrels(t), 1).select("query_id", "doc_id", "score")
     best = ranking.round_robin(best, [F.desc("score"), F.col("query_id")], ["semantic_cloaking", "near_query_placement", "keyword_packing"])
     topics = t.questions.select("query_id", text.focus_topic(F.col("query")).alias("topic"))
-    rows = t.corpus.join(small(best), "doc_id").join(small(topics), "query_id")
+    rows = t.corpus.join(bounded(best, t.question_count), "doc_id").join(small(topics), "query_id")
     rows = rows.withColumn("clean", text.compact(F.col("text"))).withColumn("payload_text", splice.rendered(F.lit(CANARY), topic=F.col("topic")))
     position = F.element_at(F.array(F.lit("early"), F.lit("mid"), F.lit("end")), (F.pmod("query_id", F.lit(3)) + 1).cast("int"))
     at = splice.insertion_offset(F.col("clean"), position, F.concat_ws("|", F.col("query_id").cast("string"), F.col("doc_id").cast("string")))
@@ -180,7 +180,7 @@ def op60(spark, d):
     t = Tables(spark, d)
     clean = t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     attacks = canary_corpus(t).select("doc_id", F.col("original_id").cast("string").alias("original_id"), "text")
-    return joins.merged_corpus(clean, attacks).select("doc_id", F.md5("text").alias("digest"))
+    return joins.merged_corpus(clean, attacks, most=t.question_count).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("op61_merged_keeping", CANARY_SQL + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS digest FROM documents UNION ALL SELECT doc_id, md5(text) FROM nw")
@@ -327,7 +327,7 @@ _HITS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({{0}}, '(?i){p}')
 @query("opD0_keyword_retrieved", f"WITH {BM25_SQL}, h AS (SELECT query_id, rank, doc_id, {_HITS.format('text')} AS hits FROM ranked JOIN documents USING (doc_id) WHERE rank <= {K}), f AS (SELECT query_id, arg_min({{'d': doc_id, 'h': hits}}, rank) FILTER (WHERE len(hits) > 0) AS f FROM h GROUP BY query_id) SELECT query_id, f IS NULL AS allow, CASE WHEN f IS NULL THEN '' ELSE 'keyword match in document ' || f.d || ': ' || array_to_string(f.h[1:3], ', ') END AS reason FROM f")
 def opd0(spark, d):
     t = Tables(spark, d)
-    ranked = t.corpus.select("doc_id", "title", "text").join(small(bm25(t, K).select("query_id", "doc_id", "rank")), "doc_id")
+    ranked = t.corpus.select("doc_id", "title", "text").join(bounded(bm25(t, K).select("query_id", "doc_id", "rank"), K * t.question_count), "doc_id")
     return guards.keyword_guard_retrieved(ranked, LOCAL_PATTERNS).select("query_id", "allow", "reason")
 
 
@@ -354,7 +354,7 @@ _META = "[" + ", ".join(f"'{x}'" for x in guards.META_TOKENS) + "]"
 )
 def opd2(spark, d):
     t = Tables(spark, d)
-    rows = t.corpus.select("doc_id", "text").join(small(bm25(t, 3).select("query_id", "doc_id")), "doc_id").join(small(t.questions), "query_id")
+    rows = t.corpus.select("doc_id", "text").join(bounded(bm25(t, 3).select("query_id", "doc_id"), 3 * t.question_count), "doc_id").join(small(t.questions), "query_id")
     return rows.select("query_id", "doc_id", guards.overlap_guard(F.col("query"), F.col("text"), LOCAL_MARKERS)["allow"].alias("allow"))
 
 
@@ -481,7 +481,7 @@ def opf0(spark, d):
 
 
 def contexts(t: Tables, k: int = 3) -> DataFrame:
-    return context.context(t.corpus.select("doc_id", "title", "text").join(small(bm25(t, k).select("query_id", "doc_id", "rank")), "doc_id"))
+    return context.context(t.corpus.select("doc_id", "title", "text").join(bounded(bm25(t, k).select("query_id", "doc_id", "rank"), k * t.question_count), "doc_id"))
 
 
 _CTX = f"WITH {BM25_SQL}, ctx AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id)"

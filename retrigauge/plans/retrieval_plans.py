@@ -154,11 +154,11 @@ def op4b(spark, d):
 @query("op4C_hydrate", f"WITH {BM25_SQL} SELECT query_id, rank, doc_id, md5(text) AS digest FROM ranked JOIN documents USING (doc_id) WHERE rank <= {K}")
 def op4c(spark, d):
     t = Tables(spark, d)
-    return R.hydrated(bm25(t, K), t.corpus).select("query_id", "rank", "doc_id", F.md5("text").alias("digest"))
+    return R.hydrated(bm25(t, K), t.corpus, K * t.question_count).select("query_id", "rank", "doc_id", F.md5("text").alias("digest"))
 
 
 def reranked(t: Tables, k: int = K) -> DataFrame:
-    return R.rerank(bm25(t, POOL), t.questions, t.corpus, 10, overlap_scorer).where(F.col("rank") <= k)
+    return R.rerank(bm25(t, POOL), t.questions, t.corpus, POOL * t.question_count, 10, overlap_scorer).where(F.col("rank") <= k)
 
 
 def overlap_scorer(q, text):
