@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, text_or_empty
+from .shared import small_batches, table, text_or_empty
 
 #: Bounds of the sample that the classifier is fitted on; prediction reads every text whole.
 PER_LANG, MAX_LANGS, MAX_TRAIN_CHARS = 200, 256, 20_000
@@ -139,6 +139,7 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str
 
 def predict(docs: DataFrame, model: Kernel | None, into: str = "_language") -> DataFrame:
     """docs with the struct `into` (lang_pred, score): a narrow map in batches of matrix products; only normalised texts go to Python."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -149,7 +150,7 @@ def predict(docs: DataFrame, model: Kernel | None, into: str = "_language") -> D
             langs, scores, a = [], [], 0
             while a < len(texts):
                 b, size = a, 0
-                while b < len(texts) and b - a < 128 and (b == a or size + len(texts[b]) < 1 << 20):
+                while b < len(texts) and b - a < 128 and (b == a or size + len(texts[b]) < 1 << 18):
                     size += len(texts[b])
                     b += 1
                 some = [bool(x.strip()) for x in texts[a:b]]

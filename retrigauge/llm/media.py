@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, table, text_or_empty
+from .shared import new_path, small_batches, table, text_or_empty
 
 #: A payload is padded with bytes 255 to a positive multiple of this; as an image it is WIDTH samples wide.
 UNIT, WIDTH, PAD = 576, 24, 255
@@ -168,6 +168,7 @@ def media_store(docs: DataFrame, payload: Column) -> DataFrame:
                     media.append(stored(data))
             yield pd.DataFrame({"digest": keys, "media": media})
 
+    small_batches(docs.sparkSession)
     path = new_path(docs.sparkSession, "media")
     docs.select(payload.alias("payload")).mapInPandas(run, "digest string, media binary").write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.schema("digest string, media binary").parquet(path)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import small_batches, table, written
 from .tokens import chunks, default_path, tokenizer
 
 WINDOW, END = 4096, 2
@@ -70,6 +70,7 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Da
 
     A narrow map: whole texts are encoded where they are read, and only lengths and checksums move on.
     """
+    small_batches(docs.sparkSession)
     path = path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -42,3 +42,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most `rows` rows in an Arrow batch from now on: whole texts are long, and workers hold a batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))

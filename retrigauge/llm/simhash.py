@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import table, written
+from .shared import small_batches, table, written
 
 SHINGLE, SEED, NEAR = 4, 42, 4
 SALTS = 8
@@ -43,6 +43,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": [fingerprint(x) for x in pdf["text"]]})
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
 
 

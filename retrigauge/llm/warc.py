@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, table, text_or_empty
+from .shared import new_path, small_batches, table, text_or_empty
 
 #: Equal payloads of fewer bytes are all stored; longer ones are stored once.
 LEAST_SHARED = 100
@@ -202,6 +202,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
                 out.append(member(record(page, url, kind, digest, int(size), owner, html.encode("utf-8", "surrogatepass"))) + EMPTY_MEMBER[:-1])
             yield pd.DataFrame({"value": out})
 
+    small_batches(pages.sparkSession)
     values = classified(pages).mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value"))
     values.write.option("lineSep", "\u0000").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
