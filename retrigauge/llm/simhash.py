@@ -101,7 +101,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(fingerprints(docs)).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     found = written(found, "kept")
-    out = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    # A merge join at every size: a broadcast of kept ids would be right for small inputs only.
+    out = docs.join(found.hint("merge"), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if found.where("n > 1").limit(1).count() else out
 
 
