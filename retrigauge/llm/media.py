@@ -18,7 +18,6 @@ from .shared import new_path, small_batches, table, text_or_empty
 #: A payload is padded with bytes 255 to a positive multiple of this; as an image it is WIDTH samples wide.
 UNIT, WIDTH, PAD = 576, 24, 255
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-_SALTS = 8
 
 SEQUENCE = "array<struct<pos: int, kind: string, text: string, ref: string, caption: string>>"
 
@@ -193,12 +192,12 @@ def described(store: DataFrame) -> DataFrame:
 def resolved(refs: DataFrame, facts: DataFrame, scheme: str = "sha256:") -> DataFrame:
     """refs(ref, ...) with the columns of facts(digest, ...) that the reference names; unknown ones stay null.
 
-    Only checksums and sizes meet here, never payloads; both sides are salted, as one payload may be
-    named by a third of all references.
+    Only checksums and sizes meet here, never payloads. One payload may be named by a third of all
+    references: the join is a plain equi-join of two shuffled sides, whose hot partitions Spark splits
+    (spark.sql.adaptive.skewJoin), so nothing is replicated for the others.
     """
-    facts = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])))
-    refs = refs.withColumn("_digest", F.substring_index("ref", scheme, -1)).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))
-    return refs.join(facts, (refs["_digest"] == facts["digest"]) & (refs["_salt"] == facts["_salt"]), "left").drop("_digest", "_salt", "digest")
+    refs = refs.withColumn("_digest", F.substring_index("ref", scheme, -1))
+    return refs.join(facts, refs["_digest"] == facts["digest"], "left").drop("_digest", "digest")
 
 
 def payload_of(text: Column) -> Column:
