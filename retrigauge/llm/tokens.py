@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 import regex
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words kept by a worker before its cache starts anew; bounds memory, never results.
-CACHE_WORDS = 300_000
+#: Distinct words and word pieces kept by a worker before its cache starts anew; bounds memory, never results.
+CACHE_WORDS, CACHE_PIECES = 350_000, 150_000
 
 _PLAIN = regex.compile("[!-~¡¿-ÖØ-öø-ÿ]+")
 #: The vocabulary's pre-token pattern.
@@ -68,36 +68,41 @@ class WordTokenizer:
             if model["vocab"][left + right] != 512 + i:
                 raise ValueError("merges are not in the order of ids")
         ranks[b"\xff"] = 1 << 20  # a lone end never remains: every byte merges with it first
-        self.width = np.zeros(1 + max(model["vocab"].values()), np.int64)
+        self.width = [0] * (1 + max(model["vocab"].values()))
         for body, at in ranks.items():
             if at < len(self.width):
                 self.width[at] = len(body.removesuffix(b"\xff"))
+        self.widths = np.array(self.width, np.int64)
         core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         return core._core_bpe.encode_single_piece
 
     def encode(self, word: str) -> list[int]:
+        if word.isalpha() and word.isascii():
+            return self._piece(word.lower())
         if _PLAIN.fullmatch(word):
             out: list[int] = []
             for piece in _PIECE.findall(word.lower()):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    if len(self.pieces) >= CACHE_WORDS:
-                        self.pieces.clear()
-                    ids = self.pieces[piece] = list(self.merger(piece.encode() + b"\xff"))
-                out += ids
+                out += self._piece(piece)
             return out
         return self.slow.encode(word, add_special_tokens=False).ids
 
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= CACHE_PIECES:
+                self.pieces.clear()
+            ids = self.pieces[piece] = list(self.merger(piece.encode() + b"\xff"))
+        return ids
+
     def spans(self, word: str, ids: list[int]) -> list[tuple[int, int]]:
         """[start, end) of each id in code points of the word; bytes of one character share its span."""
         if not _PLAIN.fullmatch(word):
             return self.slow.encode(word, add_special_tokens=False).offsets
-        ends = np.cumsum(self.width[ids])
-        starts = ends - self.width[ids]
-        if not word.isascii():
-            char = np.repeat(np.arange(len(word)), [len(c.encode()) for c in word])
-            return list(zip(char[starts].tolist(), (char[ends - 1] + 1).tolist(), strict=True))
-        return list(zip(starts.tolist(), ends.tolist(), strict=True))
+        ends = list(accumulate(map(self.width.__getitem__, ids), initial=0))
+        if not word.isascii():  # bytes to characters
+            char = [i for i, c in enumerate(word) for _ in range(1 if c < "\x80" else 2)]
+            return [(char[a], char[b - 1] + 1) for a, b in pairwise(ends)]
+        return list(pairwise(ends))
 
     def _places(self, words: list[str]) -> np.ndarray:
         """The place of each of these distinct words in the cache; unknown ones are encoded and added."""
@@ -113,11 +118,25 @@ class WordTokenizer:
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(encoded), np.uint32, int(ends[-1]) - len(self.flat))])
             self.starts = np.concatenate([self.starts, ends])
             if self.with_spans:
-                every = np.array([p for w, x in zip(new, encoded, strict=True) for p in self.spans(w, x)], np.int32).reshape(-1, 2)
-                self.span_start = np.concatenate([self.span_start, every[:, 0]])
-                self.span_end = np.concatenate([self.span_end, every[:, 1]])
+                self._add_spans(new, encoded)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+    def _add_spans(self, new: list[str], encoded: list[list[int]]) -> None:
+        """Spans of new words: where every character is one byte of a token, running sums of widths for all words at once."""
+        counts = np.fromiter(map(len, encoded), np.int64, len(new))
+        first = np.cumsum(counts) - counts
+        width = self.widths[self.flat[len(self.flat) - int(counts.sum()) :]]
+        total = np.concatenate([[0], np.cumsum(width)])
+        end = total[1:] - np.repeat(total[first], counts)
+        start = end - width
+        wide = total[first + counts] - total[first]
+        for i, (w, ids) in enumerate(zip(new, encoded, strict=True)):
+            if not (w.isascii() and wide[i] == len(w)) and ids:
+                at = slice(int(first[i]), int(first[i]) + len(ids))
+                start[at], end[at] = zip(*self.spans(w, ids), strict=True)
+        self.span_start = np.concatenate([self.span_start, start.astype(np.int32)])
+        self.span_end = np.concatenate([self.span_end, end.astype(np.int32)])
+
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the texts in order; ids per word; first word of each text (and the end)."""
         at, counts, first_words = self.places(texts)
@@ -135,14 +154,15 @@ class WordTokenizer:
         places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         first = self.starts[places]
         counts = self.starts[places + 1] - first
-        shift = np.repeat(first - np.cumsum(counts) + counts, counts)
-        return shift + np.arange(len(shift)), counts, first_words
+        shift = np.repeat((first - np.cumsum(counts) + counts).astype(np.int32), counts)
+        shift += np.arange(len(shift), dtype=np.int32)
+        return shift, counts, first_words
 
     def ids(self, text: str) -> np.ndarray:
         return self.batch([text])[0]
 
 
-def chunks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters, so that a worker's arrays stay small."""
     start = size = 0
     for i, x in enumerate(texts):
