@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table, text_or_empty
 
-#: Lines of fewer characters are headings, separators and the like: the operator leaves them alone.
+#: Default of the functions below: lines of fewer characters are left alone.
 MIN_CHARS = 32
+#: The queries look at all lines but blank ones (white space only): equal lines of any length go.
+ALL_LINES = 1
+#: Shortest line at which one edit still means a near copy; shorter ones are compared by hash alone.
+NEAR_CHARS = 16
+#: Shortest line with the full number of edits; from NEAR_CHARS up to here it is one at most.
+LONG_CHARS = 32
 #: Lines are near if so many character edits or fewer turn one into the other.
 EDITS = 1
 SALTS = 4
@@ -24,9 +32,9 @@ def store(docs: DataFrame, side: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """rk, doc_id, pos, line, n, h1, h2 of every line of min_chars or more; rows equal in doc_id and text are one document."""
+    """rk, doc_id, pos, line, n, h1, h2 of every line of min_chars or more that is not blank; rows equal in doc_id and text are one document."""
     lines = docs.select(row_key().alias("rk"), "doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars)
+    lines = lines.withColumn("n", F.char_length("line")).where((F.col("n") >= min_chars) & F.col("line").rlike(r"\S"))
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
@@ -40,26 +48,38 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), F.lit(i - k) + extra), base + F.when(F.lit(i) >= F.lit(k) - extra, 1).otherwise(0)
 
 
+def _classes(edits: int) -> list[tuple[Callable[[Column], Column], int]]:
+    """Test of a length and edits of each class of lines that are looked up by segments."""
+    return [(lambda n: (n >= NEAR_CHARS) & (n < LONG_CHARS), min(edits, 1)), (lambda n: n >= LONG_CHARS, edits)]
+
+
+def allowed(n: Column, edits: int = EDITS) -> Column:
+    """Edits by which a pair may differ whose shorter line has n characters."""
+    return F.when(n >= LONG_CHARS, edits).when(n >= NEAR_CHARS, min(edits, 1)).otherwise(0)
+
+
 def index_pieces(n: Column, edits: int = EDITS) -> Column:
-    """The edits + 1 segments of a line of n characters."""
-    return F.array(*[_piece(i, n, *_segment(n, i, edits + 1)) for i in range(edits + 1)])
+    """The segments of a line of n characters, one more than its edits; none below NEAR_CHARS."""
+    return F.array_compact(F.array(*[F.when(holds(n), _piece(i, n, *_segment(n, i, e + 1))) for holds, e in _classes(edits) for i in range(e + 1)]))
 
 
 def probe_pieces(n: Column, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Column:
     """The substrings, other than the line's own segments, that can equal a segment of a line as long or up to `edits` shorter.
 
     A pair within the threshold leaves one segment whole, with at most i edits left of segment i (from
-    0) and at most edits - i right of it; only starts that allow both are probed.
+    0) and at most edits - i right of it; only starts that allow both are probed. The edits are those
+    of the shorter line's class.
     """
     out = []
-    for shorter in range(edits + 1):
-        other = n - shorter
-        for i in range(edits + 1):
-            start, size = _segment(other, i, edits + 1)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                if shorter or shift:
-                    at = start + shift
-                    out.append(F.when((other >= min_chars) & (at >= 0) & (at + size <= n), _piece(i, other, at, size)))
+    for holds, e in _classes(edits):
+        for shorter in range(e + 1):
+            other = n - shorter
+            for i in range(e + 1):
+                start, size = _segment(other, i, e + 1)
+                for shift in range(max(-i, shorter - (e - i)), min(i, shorter + (e - i)) + 1):
+                    if shorter or shift:
+                        at = start + shift
+                        out.append(F.when(holds(other) & (other >= min_chars) & (at >= 0) & (at + size <= n), _piece(i, other, at, size)))
     return F.array_compact(F.array(*out))
 
 
@@ -82,7 +102,7 @@ def distinct_lines(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
 
 
 def near_pairs(docs: DataFrame, unique: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs of different lines at most `edits` apart: a1, a2, b1, b2 (hashes), first_a, first_b."""
+    """Pairs of different lines at most `edits` apart (one below LONG_CHARS): a1, a2, b1, b2 (hashes), first_a, first_b."""
     rows = lambda k, x: unique.select(F.explode(F.get("keys", F.lit(k))).alias(f"key_{x}"), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"))
     index, same, others = rows(0, "b"), rows(0, "a"), rows(1, "a")
     apart = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
@@ -102,7 +122,8 @@ def near_pairs(docs: DataFrame, unique: DataFrame, edits: int = EDITS) -> DataFr
         line = F.coalesce(F.get(F.split(F.col(f"_{x}_text"), "\n"), pos), F.lit("")).alias(f"line_{x}")
         found = found.join(held, own).select(*found.columns, line)
     # Spark's levenshtein with a threshold computes only the band of the matrix that the threshold leaves.
-    return found.where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a1", "a2", "b1", "b2", "first_a", "first_b")
+    shorter = F.least(F.char_length("line_a"), F.char_length("line_b"))
+    return found.where(F.levenshtein("line_a", "line_b", edits).between(F.lit(0), allowed(shorter, edits))).select("a1", "a2", "b1", "b2", "first_a", "first_b")
 
 
 def dropped(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -140,7 +161,7 @@ def cleaned(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
-    return cleaned(docs).select("doc_id", n.alias("dropped_lines"), F.char_length(text_or_empty()).cast("long").alias("kept_chars"), F.sha2(text_or_empty(), 256).alias("kept_sha256"))
+    return cleaned(docs, min_chars=ALL_LINES).select("doc_id", n.alias("dropped_lines"), F.char_length(text_or_empty()).cast("long").alias("kept_chars"), F.sha2(text_or_empty(), 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -369,3 +369,43 @@ def test_line_dedup(spark, odd):
     assert got == {1: f"{a}\nshort\n{b}", 2: "short\ntail", 3: "", 4: None, 5: ""}
     assert lines.cleaned(docs).count() == 6 and lines.cleaned(docs.limit(0)).count() == 0
     assert lines.cleaned(odd.drop("dropped")).count() == odd.count()
+
+
+def test_line_dedup_takes_short_lines(spark):
+    a, b = "All rights reserved.", "All rights reserved"
+    docs = docs_of(spark, [(1, f"{a}\nyes\n\n \nno"), (2, f"{b}\nyes\n\n \nnot"), (3, "yes"), (4, f"{a}\n\n再见")])
+    got = {r.doc_id: r.text for r in lines.cleaned(docs, min_chars=lines.ALL_LINES).collect()}
+    assert got == {1: f"{a}\nyes\n\n \nno", 2: "\n \nnot", 3: "", 4: "\n再见"}
+
+
+def test_op10_takes_equal_lines_of_any_length(spark):
+    docs = table(spark, str(DATA), "documents").collect()
+    got = {r.doc_id: r.dropped_lines for r in lines.op10_line_dedup(spark, str(DATA)).collect()}
+    seen, least = set(), {}
+    for r in sorted(docs, key=lambda r: r.doc_id):
+        for x in (r.text or "").split("\n"):
+            if x.strip():
+                least[r.doc_id] = least.get(r.doc_id, 0) + (x in seen)
+                seen.add(x)
+    assert sum(least.values()) and all(got[k] >= n for k, n in least.items())
+
+
+@pytest.mark.parametrize("edits", [1, 3])
+def test_edit_join_by_length_class(spark, edits):
+    r = random.Random(edits)
+    texts = set()
+    for n in [8, 15, 16, 17, 18, 24, 30, 31, 32, 33, 34, 35, 60]:
+        x = "".join(r.choices("abcdé", k=n))
+        texts.add(x)
+        for k in (1, 1, 2, 3, 3, 4):
+            y = list(x)
+            for _ in range(k):
+                at = r.randrange(len(y))
+                y[at : at + 1] = r.choice([[], ["z"], [y[at], "z"]])
+            texts.add("".join(y))
+    texts = sorted(texts)
+    docs = docs_of(spark, list(enumerate(texts)))
+    unique = lines.distinct_lines(lines.occurrences(docs, 1), edits, 1)
+    got = {tuple(sorted((x.first_a.doc_id, x.first_b.doc_id))) for x in lines.near_pairs(docs, unique, edits).collect()}
+    most = lambda n: edits if n >= 32 else 1 if n >= 16 else 0
+    assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if _distance(a, b) <= most(min(len(a), len(b)))}
