@@ -17,8 +17,8 @@ ALL_LINES = 1
 NEAR_CHARS = 16
 #: Shortest line with the full number of edits; from NEAR_CHARS up to here it is one at most.
 LONG_CHARS = 32
-#: Lines are near if so many character edits or fewer turn one into the other.
-EDITS = 1
+#: Lines are near if so many character edits or fewer turn one into the other (see LONG_CHARS).
+EDITS = 3
 SALTS = 4
 
 

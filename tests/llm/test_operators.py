@@ -409,3 +409,9 @@ def test_edit_join_by_length_class(spark, edits):
     got = {tuple(sorted((x.first_a.doc_id, x.first_b.doc_id))) for x in lines.near_pairs(docs, unique, edits).collect()}
     most = lambda n: edits if n >= 32 else 1 if n >= 16 else 0
     assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if _distance(a, b) <= most(min(len(a), len(b)))}
+
+
+def test_line_dedup_takes_three_edits_by_default(spark):
+    a = "a line that is long enough to be looked at by the edit join"
+    docs = docs_of(spark, [(1, a), (2, a.replace("looked", "locked")), (3, a.replace("long", "lung").replace("edit", "exit") + "!"), (4, a.replace("looked at", "gone"))])
+    assert {r.doc_id: r.text for r in lines.cleaned(docs).collect()} == {1: a, 2: "", 3: "", 4: a.replace("looked at", "gone")}
