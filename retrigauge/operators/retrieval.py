@@ -213,8 +213,8 @@ def encoder_input(model: str, title: Column, text: Column, query: bool = False)
 
 
 def sparse_encode(logits: DataFrame) -> DataFrame:
-    """doc_id, term, weight from logits(doc_id, term, logit): the largest log(1 + relu(logit)), zeros dropped."""
-    return logits.groupBy("doc_id", "term").agg(F.max(F.log1p(F.greatest(F.col("logit"), F.lit(0.0)))).alias("weight")).where("weight > 0")
+    """doc_id, term, weight from logits(doc_id, term, logit): the largest log(1 + relu(logit)), zeros dropped (before the shuffle: they are no maximum of a term that stays)."""
+    return logits.where("logit > 0").groupBy("doc_id", "term").agg(F.max(F.log1p(F.greatest(F.col("logit"), F.lit(0.0)))).alias("weight")).where("weight > 0")
 
 
 def sparse_retrieve(documents: DataFrame, docs: DataFrame, queries: DataFrame, query_ids: DataFrame, k: int) -> DataFrame:

@@ -101,10 +101,10 @@ def op47(spark, d):
     return c.select("doc_id", F.md5(R.encoder_input("e5-base", F.col("title"), F.col("text"))).alias("e5"), F.md5(R.encoder_input("bge-small", F.col("title"), F.col("text"))).alias("bge"))
 
 
-def logits(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Stand-in logits: a term's count less a half, for documents (the queries' terms only) and queries."""
+def logits(t: Tables, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Stand-in logits: a term's count less a half, for documents (the queries' terms only, or every term) and queries."""
     q = R.query_terms(t.questions).select(F.col("query_id").alias("doc_id"), "term", (F.col("qtf") - 0.5).alias("logit"))
-    p = R.bm25_index(t.corpus, only=q.select("term")).postings.select("doc_id", "term", (F.col("tf") - 1.5).alias("logit"))
+    p = R.bm25_index(t.corpus, only=None if every else q.select("term")).postings.select("doc_id", "term", (F.col("tf") - 1.5).alias("logit"))
     return p, q
 
 
@@ -116,7 +116,7 @@ spr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 @query("op48_sparse_encode", f"WITH {SPARSE} SELECT doc_id, term, round(w, 6) AS weight FROM dw")
 def op48(spark, d):
-    return R.sparse_encode(logits(Tables(spark, d))[0]).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return R.sparse_encode(logits(Tables(spark, d), every=True)[0]).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def sparse(t: Tables, k: int) -> DataFrame:

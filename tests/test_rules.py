@@ -158,3 +158,16 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
         resume.retrieve_stream(spark, str(tmp_path / "q"), corpus, 1, str(tmp_path / "out"), str(tmp_path / "ck"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.query_id for r in got.collect()) == [0, 1]
+
+
+def test_sparse_encoding_has_every_term(spark, duck):
+    from retrigauge.plans import retrieval_plans as plans
+
+    from .conftest import DATA
+    from .test_oracle import rows
+
+    sql = plans.SPARSE.replace(" AND term IN (SELECT term FROM btok)", "")
+    assert sql != plans.SPARSE
+    got = plans.op48(spark, str(DATA))
+    want = duck.execute(f"WITH {sql} SELECT doc_id, term, round(w, 6) AS weight FROM dw")
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in want.description], want.fetchall())
