@@ -171,3 +171,13 @@ def test_sparse_encoding_has_every_term(spark, duck):
     got = plans.op48(spark, str(DATA))
     want = duck.execute(f"WITH {sql} SELECT doc_id, term, round(w, 6) AS weight FROM dw")
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in want.description], want.fetchall())
+
+
+def test_op45_as_registered_finds_nine_in_ten(spark):
+    import __spark_entry__ as entry
+
+    from .conftest import DATA
+
+    for sf in (DATA, DATA.parent / "sf0.01"):
+        exact, found = ({(r.query_id, r.doc_id) for r in entry.queries()[name](spark, str(sf)).collect()} for name in ("op43_dense_cosine", "op45_dense_ivf"))
+        assert len(exact & found) >= 0.9 * len(exact)
