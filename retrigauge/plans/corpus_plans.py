@@ -564,7 +564,8 @@ _BIO_TEXT = "([" + ", ".join(f"'{x}'" for x in BIO) + "][doc_id % 4 + 1])"
 
 
 def bio(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.lit("").alias("title"), F.element_at(F.array(*[F.lit(x) for x in BIO]), (F.col("doc_id") % 4 + 1).cast("int")).alias("text"))
+    sentence = F.element_at(F.array(*[F.lit(x) for x in BIO]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return t.documents.select("doc_id", F.lit("").alias("title"), F.concat(sentence, F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 @query("op90_signal_counts", f"SELECT doc_id, CAST(len(regexp_extract_all(x, '(?i){signals.BENEFIT}')) AS INT) AS benefit, CAST(len(regexp_extract_all(x, '(?i){signals.NULL}')) AS INT) AS nulls FROM (SELECT doc_id, {_BIO_TEXT} AS x FROM documents)")

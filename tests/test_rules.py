@@ -181,3 +181,22 @@ def test_op45_as_registered_finds_nine_in_ten(spark):
     for sf in (DATA, DATA.parent / "sf0.01"):
         exact, found = ({(r.query_id, r.doc_id) for r in entry.queries()[name](spark, str(sf)).collect()} for name in ("op43_dense_cosine", "op45_dense_ivf"))
         assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_signals_read_the_documents(spark, duck):
+    import __spark_entry__ as entry
+    from retrigauge.plans import corpus_plans as plans
+
+    from .conftest import DATA
+    from .test_oracle import rows
+
+    tables = plans.Tables(spark, str(DATA))
+    texts = {r.doc_id: r.text for r in tables.documents.collect()}
+    read = {r.doc_id: r.text for r in plans.bio(tables).collect()}
+    assert read == {k: f"{plans.BIO[k % 4]}. {x or ''}" for k, x in texts.items()}
+    for name in ("op90_signal_counts", "op92_signal_flags", "op93_population"):
+        sql = entry.oracle_sql()[name].replace(plans._BIO_TEXT, f"({plans._BIO_TEXT} || '. ' || coalesce(text, ''))")
+        got, want = entry.queries()[name](spark, str(DATA)), duck.execute(sql)
+        assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in want.description], want.fetchall())
+    found = {r.doc_id: (r.compounds, r.diseases) for r in entry.queries()["op94_entities"](spark, str(DATA)).collect()}
+    assert found == {k: ("|".join(signals.ranked_entities(x, "", signals._COMPOUND, 6, False)[0]), "|".join(signals.ranked_entities(x, "", signals._DISEASE, 4, True)[0])) for k, x in read.items()}
