@@ -13,17 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.hashing import weighted_key
 from .ranking import top_k
 
-#: A sequential rule sees this many of each query's best candidates. Its input grows with the queries, not the corpus.
-PER_QUERY = 32
-
 
 def _sequential(candidates: DataFrame, rule: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A rule that cannot be split runs in one task, over candidates already cut to a few per query."""
+    """A rule that cannot be split runs in one task."""
     return candidates.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: rule(pdf.drop(columns="_all")), schema)
 
 
-def _pool(candidates: DataFrame, per_query: int = PER_QUERY) -> DataFrame:
-    return top_k(candidates, per_query).drop("rank")
+def _pool(candidates: DataFrame, per_query: int) -> DataFrame:
+    """The best candidates of each query. Exact for a rule in which fewer than per_query documents are taken when a query's turn comes."""
+    return top_k(candidates.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), per_query).drop("rank")
 
 
 def unique_pairs(candidates: DataFrame, n: int, strict: bool = False) -> DataFrame:
@@ -40,7 +38,8 @@ def unique_pairs(candidates: DataFrame, n: int, strict: bool = False) -> DataFra
             raise ValueError(f"only {len(out)} of {n} pairs")
         return pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
 
-    return _sequential(_pool(candidates).select("query_id", "doc_id", F.col("score").cast("double")), rule, "query_id long, doc_id long, score double")
+    # Of the n - 1 documents at most that are taken before the last pair, a query's best n cannot all be among them.
+    return _sequential(_pool(candidates, max(n, 1)).select("query_id", "doc_id", F.col("score").cast("double")), rule, "query_id long, doc_id long, score double")
 
 
 def balanced_techniques(candidates: DataFrame, total: int) -> DataFrame:
@@ -144,7 +143,8 @@ def first_unused(candidates: DataFrame) -> DataFrame:
                     break
         return pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
 
-    return _sequential(_pool(candidates).select("query_id", "doc_id", F.col("score").cast("double")), rule, "query_id long, doc_id long, score double")
+    queries = candidates.select("query_id").distinct().count()  # at most one document less is taken when the last query's turn comes
+    return _sequential(_pool(candidates, max(queries, 1)).select("query_id", "doc_id", F.col("score").cast("double")), rule, "query_id long, doc_id long, score double")
 
 
 def by_hash_offset(rows: DataFrame, key: str, targets: dict[str, int]) -> DataFrame:

@@ -200,3 +200,35 @@ def test_signals_read_the_documents(spark, duck):
         assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in want.description], want.fetchall())
     found = {r.doc_id: (r.compounds, r.diseases) for r in entry.queries()["op94_entities"](spark, str(DATA)).collect()}
     assert found == {k: ("|".join(signals.ranked_entities(x, "", signals._COMPOUND, 6, False)[0]), "|".join(signals.ranked_entities(x, "", signals._DISEASE, 4, True)[0])) for k, x in read.items()}
+
+
+def test_selections_look_beyond_shared_favourites(spark):
+    rows = [(q, d, 9.0) for q in range(40) for d in range(60)]
+    c = spark.createDataFrame(rows, "query_id long, doc_id long, score double")
+    assert select.unique_pairs(c, 40, strict=True).count() == 40
+    assert select.unique_pairs(c, 10).count() == 10
+    assert {(r.query_id, r.doc_id) for r in select.first_unused(c).collect()} == {(q, q) for q in range(40)}
+
+
+@pytest.mark.parametrize("n", [1, 3, 20])
+def test_selections_equal_the_uncut_rules(spark, n):
+    import random
+
+    r = random.Random(n)
+    rows = [(q, d, float(r.randint(1, 4))) for q in range(15) for d in range(12) if r.random() < 0.8]
+    c = spark.createDataFrame(rows, "query_id long, doc_id long, score double")
+    queries, docs, pairs = set(), set(), set()
+    for q, d, _ in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
+        if len(pairs) < n and q not in queries and d not in docs:
+            queries.add(q)
+            docs.add(d)
+            pairs.add((q, d))
+    assert {(x.query_id, x.doc_id) for x in select.unique_pairs(c, n).collect()} == pairs
+    best = {q: max(s for k, _, s in rows if k == q) for q in {x[0] for x in rows}}
+    used, first = set(), set()
+    for q in sorted(best, key=lambda q: (-best[q], q)):
+        d = next((d for _, d in sorted((-s, d) for k, d, s in rows if k == q) if d not in used), None)
+        if d is not None:
+            used.add(d)
+            first.add((q, d))
+    assert {(x.query_id, x.doc_id) for x in select.first_unused(c).collect()} == first
