@@ -94,77 +94,106 @@ def _record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return heads, body, end + 4
 
 
-def _plain(data: bytes, out: Salvage, base: int = 0, fixed: bool = False) -> None:
-    """Records of uncompressed bytes; with fixed, all offsets are those of the member at base."""
+def _proved(heads: dict[str, str]) -> bool:
+    """Whether a stated digest, compared by _record_at, vouches for the block."""
+    return heads.get("warc-block-digest", "").startswith("sha256:")
+
+
+def _member_records(plain: bytes, out: Salvage, start: int, end: int, prove: bool = False) -> None:
+    """Records of a member that lies from start to end, all with its offset; a gap of its place for each bad one.
+
+    With prove, records without a digest that vouches for them are bad.
+    """
     at = 0
-    place = lambda x: base if fixed else base + x
-    while at < len(data):
+    while at < len(plain):
         try:
-            heads, body, end = _record_at(data, at)
-            out.records.append((place(at), heads, body))
-            at = end
+            heads, body, behind = _record_at(plain, at)
+            if prove and not _proved(heads):
+                raise ValueError("no digest to prove a record of a damaged member")
+            out.records.append((start, heads, body))
+            at = behind
         except ValueError as why:
-            following = data.find(b"\n" + _VERSION, at)
-            stop = len(data) if following < 0 else following + 1
-            if not fixed:
-                out.gap(place(at), place(stop), str(why))
-            at = stop
+            out.gap(start, end, str(why))
+            following = plain.find(b"\n" + _VERSION, at)
+            at = len(plain) if following < 0 else following + 1
+
+
+def _single(plain: bytes) -> bool:
+    """Whether these bytes are one whole record."""
+    try:
+        return _record_at(plain, 0)[2] == len(plain)
+    except ValueError:
+        return False
 
 
 def salvaged(data: bytes) -> Salvage:
-    """All records that pass their checks, in order, whatever lies between.
+    """All records that pass their checks, in order, whatever lies between, plain or in gzip members.
 
-    Gzip members are read one by one; when one fails (bad stream, wrong checksum) the search goes on
-    for the next member header behind it, and in plain archives for the next version line. A member
-    whose records fail is put aside whole. An empty file has no record and no gap.
+    After a record or member that fails, reading goes on at the nearer of the next version line and
+    the next member header behind its start. Of a member that is cut, the records inflated before the
+    cut stay; of one that is damaged (bad stream, wrong checksum), those that their digest proves. A
+    broken member of one record is put aside whole. An empty file has no record and no gap.
     """
-    out, at = Salvage(), 0
-    if not data.startswith(_MAGIC) and _MAGIC not in data:
-        _plain(data, out)
-        return out
+    out, at, header = Salvage(), 0, -1
+    upto, kept = 0, []  # records of a broken member, and how far its bytes were read: they may show again as stored bytes
+
+    def resume(start: int, line: bytes) -> int:
+        nonlocal header
+        if header < start:
+            found = data.find(_MAGIC, start)
+            header = len(data) if found < 0 else found
+        following = data.find(line + _VERSION, start - len(line), header)
+        return header if following < 0 else following + len(line)
+
     while at < len(data):
-        if not data.startswith(_MAGIC, at):
-            member_at = data.find(_MAGIC, at)
-            version_at = at if data.startswith(_VERSION, at) else data.find(b"\n" + _VERSION, at) + 1 or -1
-            stop = min((x for x in (member_at, version_at) if x >= 0), default=len(data))
-            if version_at == stop:
-                try:
-                    heads, body, end = _record_at(data, stop)
-                    out.gap(at, stop, "not a record")
-                    out.records.append((stop, heads, body))
-                    at = end
-                    continue
-                except ValueError:
-                    stop = member_at if member_at > stop else data.find(_MAGIC, stop + 1)
-                    stop = len(data) if stop < 0 else stop
-            out.gap(at, stop, "not a record")
+        if data.startswith(_MAGIC, at):
+            plain, end, why = _inflated(data, at)
+            if why is None:
+                _member_records(plain, out, at, end)
+                at = end
+                continue
+            stop, before = resume(at + 1, b""), len(out.records)
+            if not _single(plain):
+                _member_records(plain, out, at, stop, prove=isinstance(why, zlib.error))
+            out.gap(at, stop, str(why))
+            upto, kept = end, [x[1:] for x in out.records[before:]]
             at = stop
             continue
         try:
-            plain, end = _inflated(data, at)
-            before = len(out.records)
-            if plain:
-                _plain(plain, out, at, fixed=True)
-                if len(out.records) == before:
-                    out.gap(at, end, "no valid record in member")
+            heads, body, end = _record_at(data, at)
+            if at >= upto or (heads, body) not in kept:
+                out.records.append((at, heads, body))
             at = end
-        except (zlib.error, ValueError) as why:
-            following = data.find(_MAGIC, at + 1)
-            stop = len(data) if following < 0 else following
+        except ValueError as why:
+            stop = resume(at + 1, b"" if at < upto else b"\n")
             out.gap(at, stop, str(why))
             at = stop
     return out
 
 
-def _inflated(data: bytes, at: int, piece: int = 1 << 14) -> tuple[bytes, int]:
-    """The member that starts here and its end, fed in pieces so that what follows is not copied each time."""
+def _inflated(data: bytes, at: int, piece: int = 1 << 14) -> tuple[bytes, int, Exception | None]:
+    """What the member that starts here holds, where it ends, and what broke it, if anything.
+
+    It is fed in pieces so that what follows is not copied each time; a piece that fails is fed again
+    byte by byte, so that all that was inflated before the failure is there.
+    """
     z, parts, view = zlib.decompressobj(31), [], memoryview(data)
     for a in range(at, len(data), piece):
         b = min(len(data), a + piece)
-        parts.append(z.decompress(view[a:b]))
+        try:
+            parts.append(z.decompress(view[a:b]))
+        except zlib.error:
+            z = zlib.decompressobj(31)
+            for c in range(at, a, piece):
+                z.decompress(view[c : c + piece])
+            for c in range(a, b):
+                try:
+                    parts.append(z.decompress(view[c : c + 1]))
+                except zlib.error as why:
+                    return b"".join(parts), c, why
         if z.eof:
-            return b"".join(parts), b - len(z.unused_data)
-    raise ValueError("member is cut")
+            return b"".join(parts), b - len(z.unused_data), None
+    return b"".join(parts), len(data), ValueError("member is cut")
 
 
 # --- archives ------------------------------------------------------------------------------------

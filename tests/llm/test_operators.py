@@ -415,3 +415,35 @@ def test_line_dedup_takes_three_edits_by_default(spark):
     a = "a line that is long enough to be looked at by the edit join"
     docs = docs_of(spark, [(1, a), (2, a.replace("looked", "locked")), (3, a.replace("long", "lung").replace("edit", "exit") + "!"), (4, a.replace("looked at", "gone"))])
     assert {r.doc_id: r.text for r in lines.cleaned(docs).collect()} == {1: a, 2: "", 3: "", 4: a.replace("looked at", "gone")}
+
+
+def test_warc_salvage_of_mixed_files():
+    r = random.Random(7)
+    bodies = [r.randbytes(300) + bytes([65 + i]) for i in range(8)]
+    bodies[0] = bodies[5] = warc.member(b"a gzip body")
+    records = [warc.record(i, "u", "response", hashlib.sha256(b).hexdigest(), len(b), None, b) for i, b in enumerate(bodies)]
+    damage = lambda x, at: x[:at] + bytes([x[at] ^ 0xFF]) + x[at + 1 :]
+    read = lambda data: [x[2] for x in warc.salvaged(data).records]
+    bad = damage(records[1], len(records[1]) - 20)
+    # plain records behind a gzip body and a damaged record
+    assert read(records[0] + bad + b"".join(records[2:])) == [bodies[0], *bodies[2:]]
+    assert read(records[1] + damage(records[0], len(records[0]) - 8) + b"".join(records[2:])) == [bodies[1], *bodies[2:]]
+    # members and plain records in turn, a damaged member before plain ones
+    mixed = [warc.member(x) if i % 2 else x for i, x in enumerate(records)]
+    assert read(b"".join(mixed)) == bodies and not warc.salvaged(b"".join(mixed)).gaps
+    mixed[3] = damage(mixed[3], len(mixed[3]) // 2)
+    assert read(b"".join(mixed)) == bodies[:3] + bodies[4:]
+    # a cut or damaged member keeps what was inflated before, whether packed or stored
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = z.compress(b"".join(records[:4])) + z.flush()
+    for many in (warc.member(b"".join(records[:4])), stored):
+        assert read(many[:-200] + records[6]) == [*bodies[:3], bodies[6]]
+        assert read(damage(many, len(many) - 6) + warc.member(records[6])) == [*bodies[:4], bodies[6]]
+        assert read(damage(many, len(many) - 150) + warc.member(records[6])) == [*bodies[:3], bodies[6]]
+        assert len(warc.salvaged(many[:-200]).gaps) >= 1
+    # a bad record between good ones in a member is a gap
+    got = warc.salvaged(warc.member(records[0] + bad + records[2] + bad + records[3]))
+    assert [x[2] for x in got.records] == [bodies[0], bodies[2], bodies[3]] and len(got.gaps) == 2
+    # without a digest nothing proves a record of a damaged member
+    bare = warc.member(2 * b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    assert read(bare[:-3]) == [b"abc", b"abc"] and read(damage(bare, len(bare) - 6)) == []
