@@ -97,6 +97,16 @@ def test_language_edges(spark, odd):
     assert language.keep_language(odd).columns == odd.columns
 
 
+def test_keep_language_rejects_noise_and_foreign_texts(spark):
+    r = random.Random(3)
+    docs = table(spark, str(DATA), "documents")
+    foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Все люди рождаются свободными и равными в своем достоинстве и правах", "すべての人間は生まれながらにして自由であり"]
+    noise = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz  ", k=n)) for n in (20, 60, 200, 1000)]
+    bad = spark.createDataFrame([(10**9 + i, x, None, "x", len(x)) for i, x in enumerate(foreign + noise)], DOCS)
+    kept = {x.doc_id for x in language.keep_language(docs.select("doc_id", "text", "lang", "source", "n_chars").union(bad)).collect()}
+    assert kept == {x.doc_id for x in docs.where("text rlike '\\\\p{L}'").collect()}
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 
