@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_or_empty
+from .shared import table, text_or_empty, written
 
 #: Default of the functions below: lines of fewer characters are left alone.
 MIN_CHARS = 32
@@ -20,37 +21,74 @@ LONG_CHARS = 32
 #: Lines are near if so many character edits or fewer turn one into the other (see LONG_CHARS).
 EDITS = 3
 SALTS = 4
+#: A key that more lines share is not paired: what is left of its lines is cut into segments anew, LEVELS times at most.
+HOT, LEVELS = 16, 3
+#: Words of 64 bits of the filter that spares most lines' texts the shuffle of candidates. It may let more pass, never fewer.
+FILTER_WORDS = 1 << 16
+#: Characters whose counts, apart by more than two an edit, tell that two lines are not near (any choice is exact).
+COUNTED = "etaoinsrdlcu"
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+# --- lines and their order -----------------------------------------------------------------------
 
 
-def store(docs: DataFrame, side: str) -> DataFrame:
-    """docs with all columns renamed by side and their row key: equal but for names, so one shuffle of texts serves every join."""
-    return docs.select(row_key().alias(f"_k_{side}"), *[F.col(c).alias(f"_{side}_{c}") for c in docs.columns])
+def document_key() -> tuple[Column, Column]:
+    """(order, text hash) of a row: order is doc_id; rows without one come behind all others, by a hash of their text."""
+    h = F.xxhash64(text_or_empty())
+    behind = F.lit(1 << 62) + h.bitwiseAND(F.lit((1 << 61) - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), behind), h
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """rk, doc_id, pos, line, n, h1, h2 of every line of min_chars or more that is not blank; rows equal in doc_id and text are one document."""
-    lines = docs.select(row_key().alias("rk"), "doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("pos", "line"))
+    """did, th (document key), pos, line, n, h1, h2 of every line of min_chars or more that is not blank."""
+    did, th = document_key()
+    lines = docs.select(did.alias("did"), th.alias("th"), F.posexplode(F.split(text_or_empty(), "\n")).alias("pos", "line"))
     lines = lines.withColumn("n", F.char_length("line")).where((F.col("n") >= min_chars) & F.col("line").rlike(r"\S"))
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def _piece(i: int, length: Column, start: Column, n: Column) -> Column:
-    return F.struct(F.lit(i).alias("i"), length.cast("int").alias("of"), start.cast("int").alias("start"), n.cast("int").alias("n"))
+def place() -> Column:
+    """The place of a line in the corpus as one number: document, 32 bits of its text's hash, position."""
+    inner = F.col("th").bitwiseAND(F.lit((1 << 32) - 1)) * F.lit(1 << 31) + F.col("pos")
+    return (F.col("did").cast("decimal(19,0)") * F.lit(Decimal(1 << 63)).cast("decimal(19,0)") + inner.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of k; the last length mod k segments are one longer."""
-    base, extra = F.floor(length / k), F.pmod(length, F.lit(k))
-    return base * i + F.greatest(F.lit(0), F.lit(i - k) + extra), base + F.when(F.lit(i) >= F.lit(k) - extra, 1).otherwise(0)
+# --- segments ------------------------------------------------------------------------------------
 
 
-def _classes(edits: int) -> list[tuple[Callable[[Column], Column], int]]:
-    """Test of a length and edits of each class of lines that are looked up by segments."""
-    return [(lambda n: (n >= NEAR_CHARS) & (n < LONG_CHARS), min(edits, 1)), (lambda n: n >= LONG_CHARS, edits)]
+def shapes(edits: int) -> list[tuple[int, int]]:
+    """(segment, shift) of the substrings that are looked up: first the edits + 1 segments in place, then moved ones.
+
+    Of edits + 1 parts with `edits` edits in all, take the first part i whose edits and those before
+    it are i at most: it is whole, i edits are left of it and edits - i right of it at most. So a
+    segment counted from the left is moved by i at most, one counted from the right by edits - i.
+    """
+    reach = [min(i, edits - i) for i in range(edits + 1)]
+    return [(i, 0) for i in range(edits + 1)] + [(i, d) for i, r in enumerate(reach) for d in range(-r, r + 1) if d]
+
+
+def _left(i: int, edits: int) -> bool:
+    return i <= edits - i
+
+
+def segment_size(n: Column, edits: int) -> Column:
+    """Characters of a segment of a line of n: alike for all lengths of a class, of which an octave has four."""
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(n.cast("long"))) - 3, F.lit(0)))
+    return F.floor((n - n % step) / (edits + 1)).cast("int")
+
+
+def _start(n: Column, size: Column, i: int, shift: int, edits: int) -> Column:
+    """Where segment i begins (from 0): the first half is counted from the left, the others from the right."""
+    return (F.lit(i) * size if _left(i, edits) else n - F.lit(edits + 1 - i) * size) + F.lit(shift)
+
+
+def _keys(line: Column, n: Column, size: Column, edits: int, *parent: Column) -> list[Column]:
+    """A key for each of shapes(edits): parent, segment, its size and its text; null where the line has no such place."""
+    out = []
+    for i, shift in shapes(edits):
+        at = _start(n, size, i, shift, edits)
+        out.append(F.when((at >= 0) & (at + size <= n), F.xxhash64(*parent, F.lit(edits * 16 + i), size, F.substring(line, at + 1, size))))
+    return out
 
 
 def allowed(n: Column, edits: int = EDITS) -> Column:
@@ -58,131 +96,278 @@ def allowed(n: Column, edits: int = EDITS) -> Column:
     return F.when(n >= LONG_CHARS, edits).when(n >= NEAR_CHARS, min(edits, 1)).otherwise(0)
 
 
-def index_pieces(n: Column, edits: int = EDITS) -> Column:
-    """The segments of a line of n characters, one more than its edits; none below NEAR_CHARS."""
-    return F.array_compact(F.array(*[F.when(holds(n), _piece(i, n, *_segment(n, i, e + 1))) for holds, e in _classes(edits) for i in range(e + 1)]))
+def shorter(n: Column, edits: int, min_chars: int) -> Column:
+    """The least length that a line near to one of n characters may have, counting lines of n or fewer."""
+    near = F.greatest(n - min(edits, 1), F.lit(max(NEAR_CHARS, min_chars)))
+    full = F.when(n - edits >= LONG_CHARS, n - edits).when((n == LONG_CHARS) & (F.lit(min_chars) < LONG_CHARS), n - min(edits, 1)).otherwise(n)
+    return F.when(n >= LONG_CHARS, full).otherwise(near)
+
+
+def line_keys(edits: int, min_chars: int) -> list[Column]:
+    """Keys of column `line` (n characters): by its own class, then by the class of shorter lines where that is another one."""
+    line, n = F.col("line"), F.col("n")
+    low = shorter(n, edits, min_chars)
+    few = min(edits, 1)
+    out = []
+    for m, more in ((n, F.lit(True)), (low, (n >= NEAR_CHARS) & ((segment_size(low, edits) != segment_size(n, edits)) | ((low < LONG_CHARS) & ((n >= LONG_CHARS) | (segment_size(low, few) != segment_size(n, few))))))):
+        full = _keys(line, n, segment_size(m, edits), edits)
+        part = _keys(line, n, segment_size(m, few), few)
+        for j, key in enumerate(full):
+            long = F.when((m >= LONG_CHARS) & more, key)
+            out.append(long.when((m >= NEAR_CHARS) & (m < LONG_CHARS) & more, part[j]) if j < len(part) else long)
+    return out
 
 
-def probe_pieces(n: Column, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Column:
-    """The substrings, other than the line's own segments, that can equal a segment of a line as long or up to `edits` shorter.
+def distinct_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, h2, first (place of the earliest occurrence), n (occurrences) and keys k0, k1, ... of every different line.
 
-    A pair within the threshold leaves one segment whole, with at most i edits left of segment i (from
-    0) and at most edits - i right of it; only starts that allow both are probed. The edits are those
-    of the shorter line's class.
+    Keys are taken where lines are read, so that no line's text is shuffled for them, and equal lines
+    are combined before the shuffle.
     """
-    out = []
-    for holds, e in _classes(edits):
-        for shorter in range(e + 1):
-            other = n - shorter
-            for i in range(e + 1):
-                start, size = _segment(other, i, e + 1)
-                for shift in range(max(-i, shorter - (e - i)), min(i, shorter + (e - i)) + 1):
-                    if shorter or shift:
-                        at = start + shift
-                        out.append(F.when(holds(other) & (other >= min_chars) & (at >= 0) & (at + size <= n), _piece(i, other, at, size)))
-    return F.array_compact(F.array(*out))
+    keys = line_keys(edits, min_chars)
+    out = occurrences(docs, min_chars).select("h1", "h2", place().alias("place"), *[k.alias(f"k{j}") for j, k in enumerate(keys)])
+    return out.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *[F.max(f"k{j}").alias(f"k{j}") for j in range(len(keys))])
+
+
+# --- candidates ----------------------------------------------------------------------------------
 
 
-def _hashed(pieces: Column) -> Column:
-    """One key for each piece: segment number, length of the line it is a segment of, its text."""
-    return F.transform(pieces, lambda p: F.xxhash64(p["i"], p["of"], F.substring(F.col("line"), p["start"] + 1, p["n"])))
+def live_rows(unique: DataFrame, edits: int = EDITS) -> DataFrame:
+    """key, id (h1), code (place in line_keys) of every key that a different line has too, in place on at least one side."""
+    half = len(shapes(edits))
+    rows = None
+    for at in (0, half):
+        part = unique.select("h1", F.posexplode(F.array(*[f"k{j}" for j in range(at, at + half)])).alias("code", "key")).where("key is not null")
+        part = part.select("key", F.col("h1").alias("id"), (F.col("code") + at).alias("code"))
+        rows = part if rows is None else rows.union(part)
+    other = rows.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("code").alias("code2"))
+    return rows.join(other, (F.col("key") == F.col("key2")) & (F.col("id") != F.col("id2")) & ((F.col("code") <= edits) | (F.col("code2") <= edits)), "left_semi")
 
 
-def distinct_lines(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, own and others (keys), n and first, the place of the earliest occurrence (null doc_id last).
+def _bit(x: Column) -> tuple[Column, Column]:
+    """(word, mask) of the place of x in the filter."""
+    h = F.xxhash64(x)
+    return F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
 
-    Keys are taken where lines are read, so that no line's text is shuffled for this; equal lines are
-    combined before the shuffle.
+
+def passing(rows: DataFrame, x: Column, wanted: DataFrame, y: Column) -> DataFrame:
+    """rows whose x may be among the y of wanted: none of those is lost, others pass by chance.
+
+    The filter has FILTER_WORDS words of 64 bits whatever the input, so it is broadcast.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "pos")
-    out = lines.select("h1", "h2", "doc_id", "rk", "pos", "line", index_pieces(F.col("n"), edits).alias("ip"), probe_pieces(F.col("n"), edits, min_chars).alias("pp"))
-    out = out.select("h1", "h2", place.alias("place"), F.array(_hashed(F.col("ip")), _hashed(F.col("pp"))).alias("keys"))
-    out = out.groupBy("h1", "h2").agg(F.first("keys").alias("keys"), F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    return out.where("n > 0 and first.pos >= 0 and size(keys) > 0")  # every reader needs every column, so that one shuffle serves them all
+    word, mask = _bit(y)
+    bits = wanted.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    at, own = _bit(x)
+    held = rows.withColumn("_at", at).withColumn("_own", own)
+    return held.join(F.broadcast(bits), (F.col("_at") == F.col("_word")) & (F.col("_bits").bitwiseAND(F.col("_own")) != 0)).select(*rows.columns)
+
 
+def texts_of(docs: DataFrame, wanted: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """id, h2, first, n, line of the lines in wanted(id, h2, first): each read where it occurs first.
 
-def near_pairs(docs: DataFrame, unique: DataFrame, edits: int = EDITS) -> DataFrame:
+    Other lines' texts are filtered before the shuffle, as far as the filter can tell.
+    """
+    lines = occurrences(docs, min_chars).select("line", "n", place().alias("at"), "h1")
+    lines = passing(lines, F.col("at"), wanted, F.col("first"))
+    return wanted.join(lines, (F.col("first") == F.col("at")) & (F.col("id") == F.col("h1"))).select("id", "h2", "first", "n", "line").dropDuplicates(["id", "h2"])
+
+
+def _rest(rows: DataFrame, texts: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """key, id, mask, a, b for live rows(key, id, code): what is right of a segment counted from the left, or left of the others.
+
+    mask has a bit for every level at which the row is a moved substring; a pair needs one side in place at each.
+    """
+    n, few, half = F.col("n"), min(edits, 1), len(shapes(edits))
+    m = F.when(F.col("code") < half, n).otherwise(shorter(n, edits, min_chars))
+    a = b = F.lit(None).cast("int")
+    for e, holds in ((edits, m >= LONG_CHARS), (few, m < LONG_CHARS)):
+        size = segment_size(m, e)
+        for j, (i, shift) in enumerate(shapes(e)):
+            here = holds & (F.pmod(F.col("code"), F.lit(half)) == j)
+            at = _start(n, size, i, shift, e)
+            a = F.when(here, at + size if _left(i, e) else F.lit(0)).otherwise(a)
+            b = F.when(here, n if _left(i, e) else at).otherwise(b)
+    held = rows.join(texts.select("id", "n"), "id")
+    return held.select("key", "id", F.when(F.col("code") <= edits, 0).otherwise(1).alias("mask"), a.alias("a"), b.alias("b"))
+
+
+def _again(rows: DataFrame, texts: DataFrame, edits: int, level: int) -> DataFrame:
+    """rows(key, id, mask, a, b) with their line's part from a to b cut into segments anew, under their key."""
+    n = F.col("b") - F.col("a")
+    part = rows.join(texts.select("id", "line"), "id").select("key", "id", "mask", "a", "b", n.alias("n"), F.substring("line", F.col("a") + 1, n).alias("line"))
+    n, line = F.col("n"), F.col("line")
+    found = []
+    for own, m in ((True, n), (False, F.greatest(n - edits, F.lit(0)))):
+        size = segment_size(m, edits)
+        more = F.lit(True) if own else size != segment_size(n, edits)
+        keys = _keys(line, n, size, edits, F.col("key"))
+        for j, (i, shift) in enumerate(shapes(edits)):
+            at = F.col("a") + _start(n, size, i, shift, edits)
+            moved = F.lit(0 if own and j <= edits else 1 << level)
+            # Too short for segments: one key for all such parts.
+            key = F.when(more & (size > 0), keys[j])
+            if j == 0:
+                key = key.when(more & (size == 0), F.xxhash64(F.col("key"), F.lit(-1)))
+            a = F.when(size == 0, F.col("a")).otherwise(at + size if _left(i, edits) else F.col("a"))
+            b = F.when(size == 0, F.col("b")).otherwise(F.col("b") if _left(i, edits) else at)
+            found.append(F.struct(key.alias("key"), F.col("mask").bitwiseOR(moved).alias("mask"), a.cast("int").alias("a"), b.cast("int").alias("b")))
+    out = part.select("id", F.explode(F.filter(F.array(*found), lambda x: x["key"].isNotNull())).alias("x"))
+    return out.select("x.key", "id", "x.mask", "x.a", "x.b")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """(x, y), x < y: ids of one key of which one is in place at every level."""
+    other = rows.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("mask").alias("mask2"))
+    found = rows.select("key", "id", "mask").join(other, (F.col("key") == F.col("key2")) & (F.col("id") < F.col("id2")) & (F.col("mask").bitwiseAND(F.col("mask2")) == 0))
+    return found.select(F.col("id").alias("x"), F.col("id2").alias("y"))
+
+
+def candidates(live: DataFrame, texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(x, y): pairs of ids that may be near. Every pair within the threshold is among them.
+
+    Lines that share a key are paired if they are HOT or fewer. Of a key with more, the rest of each
+    line (what is left or right of the shared segment, in which all edits but those on the other side
+    lie) is cut into segments in turn, and only lines that share one of those too go on.
+    """
+    rows, out = _rest(live, texts, edits, min_chars), None
+    for level in range(1, LEVELS + 1):
+        rows = written(rows, "keys")
+        many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > HOT)
+        last = level == LEVELS or not many.limit(1).count()
+        found = _paired(rows if last else rows.join(many, "key", "left_anti"))
+        out = found if out is None else out.union(found)
+        if last:
+            return out.distinct()
+        rows = _again(rows.join(many, "key", "left_semi"), texts, edits, level)
+
+
+# --- verification --------------------------------------------------------------------------------
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def distance(a: Column, b: Column, edits: int) -> Column:
+    """The edit distance of two lines if it is `edits` or less, else something above.
+
+    Banded bit-parallel: of every column only the 2 * edits + 1 rows around the diagonal are kept, as
+    bits of two numbers (where the distance grows and where it falls from one row to the next).
+    Lengths may differ by `edits` at most.
+    """
+    return _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda s: _distance(s["a"], s["b"], edits))
+
+
+def _distance(a: Column, b: Column, edits: int) -> Column:
+    width = 2 * edits + 1
+    full = (1 << width) - 1
+    num = lambda x: F.lit(x).cast("long")
+    inv = lambda x: x.bitwiseXOR(num(full))  # noqa: E731  of numbers within the band
+
+    def match(c: Column, j: Column) -> Column:
+        out = num(0)
+        for k in range(width):
+            out = out.bitwiseOR(F.when(F.get(a, j + F.lit(k - edits)) == c, num(1 << k)).otherwise(num(0)))
+        return out
+
+    def step(s: Column, eq: Column) -> Column:
+        vp, vn = s["vp"], s["vn"]
+        same = ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(num(full))
+        return _let(same, lambda d0: below(d0, vp, vn, s["d"]))
+
+    def below(d0: Column, vp: Column, vn: Column, d: Column) -> Column:
+        hp, hn = vn.bitwiseOR(inv(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
+        down = F.shiftright(d0, 1)
+        grown = d + F.when(d0.bitwiseAND(num(1 << edits)) == 0, 1).otherwise(0)
+        return F.struct(hn.bitwiseOR(inv(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), grown.alias("d"))
+
+    start = F.struct(num(full ^ ((1 << edits) - 1)).alias("vp"), num(0).alias("vn"), F.lit(0).alias("d"))
+    off = F.size(a) - F.size(b)
+    return _let(F.aggregate(F.transform(b, match), start, step), lambda end: _to_last_row(end, off, edits))
+
+
+def _to_last_row(end: Column, off: Column, edits: int) -> Column:
+    """The distance on the diagonal moved by `off` rows to the last one, by what grows and falls in the last column."""
+    num = lambda x: F.lit(x).cast("long")
+    total, width = end["d"], 2 * edits + 1
+    for k in range(width):
+        delta = F.when(end["vp"].bitwiseAND(num(1 << k)) != 0, 1).otherwise(0) - F.when(end["vn"].bitwiseAND(num(1 << k)) != 0, 1).otherwise(0)
+        total = total + (F.when(off > k - edits, delta).otherwise(0) if k >= edits else F.when(off <= k - edits, -delta).otherwise(0))
+    return total
+
+
+def _counts(line: Column) -> Column:
+    return F.array(*[F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
+
+
+def near_pairs(docs: DataFrame, unique: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs of different lines at most `edits` apart (one below LONG_CHARS): a1, a2, b1, b2 (hashes), first_a, first_b."""
-    rows = lambda k, x: unique.select(F.explode(F.get("keys", F.lit(k))).alias(f"key_{x}"), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"))
-    index, same, others = rows(0, "b"), rows(0, "a"), rows(1, "a")
-    apart = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-    once = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
-    found = same.join(index, (F.col("key_a") == F.col("key_b")) & once).select("a1", "a2", "b1", "b2")
-    found = found.union(others.join(index, (F.col("key_a") == F.col("key_b")) & apart).select("a1", "a2", "b1", "b2")).distinct()
-    place = lambda x: unique.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("first").alias(f"first_{x}"))
-    found = found.join(place("a"), ["a1", "a2"]).join(place("b"), ["b1", "b2"])
+    live = written(live_rows(unique, edits), "live")
+    ids = live.select("id").distinct()
+    wanted = passing(unique.select(F.col("h1").alias("id"), "h2", "first"), F.col("id"), ids, F.col("id")).join(ids, "id", "left_semi")
+    texts = written(texts_of(docs, written(wanted, "wanted"), min_chars), "texts")
+    light = texts.select("id", "h2", "n", _counts(F.col("line")).alias("c"))
+    side = lambda df, x: df.select(*[F.col(c).alias(f"{c}_{x}") for c in df.columns])
+    found = candidates(live, texts, edits, min_chars).join(side(light, "a"), F.col("x") == F.col("id_a")).join(side(light, "b"), F.col("y") == F.col("id_b"))
+    least = allowed(F.least("n_a", "n_b"), edits)
+    apart = F.aggregate(F.zip_with("c_a", "c_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, x: s + x)
+    found = found.where((F.abs(F.col("n_a") - F.col("n_b")) <= least) & (apart <= 2 * least))
+    found = written(found.select("id_a", "h2_a", "id_b", "h2_b", least.alias("least")), "pairs")
+    held = texts.select("id", "h2", "first", "line")
     for x in "ab":
-        held, pos = store(docs, x), F.col(f"first_{x}.pos")
-        # Tests of the form (pos < 0) | ... keep every column of docs in the join, as the last join needs
-        # them all, without becoming join keys or filters: the three joins then share one shuffle.
-        own = (F.col(f"_k_{x}") == F.col(f"first_{x}.rk")) & ((pos < 0) | F.col(f"_{x}_doc_id").eqNullSafe(F.col(f"first_{x}.doc_id")))
-        for c in docs.columns:
-            if c not in ("doc_id", "text"):
-                own = own & (F.col(f"_{x}_{c}").isNull() | (F.col(f"_{x}_{c}").cast("string") >= "") | (pos < 0))
-        line = F.coalesce(F.get(F.split(F.col(f"_{x}_text"), "\n"), pos), F.lit("")).alias(f"line_{x}")
-        found = found.join(held, own).select(*found.columns, line)
-    # Spark's levenshtein with a threshold computes only the band of the matrix that the threshold leaves.
-    shorter = F.least(F.char_length("line_a"), F.char_length("line_b"))
-    return found.where(F.levenshtein("line_a", "line_b", edits).between(F.lit(0), allowed(shorter, edits))).select("a1", "a2", "b1", "b2", "first_a", "first_b")
+        found = found.join(side(held, f"{x}_"), (F.col(f"id_{x}") == F.col(f"id_{x}_")) & (F.col(f"h2_{x}") == F.col(f"h2_{x}_"))).drop(f"id_{x}_", f"h2_{x}_")
+    apart = distance(F.col("line_a_"), F.col("line_b_"), edits)
+    found = found.where(apart <= F.col("least"))
+    return found.select(F.col("id_a").alias("a1"), F.col("h2_a").alias("a2"), F.col("id_b").alias("b1"), F.col("h2_b").alias("b2"), F.col("first_a_").alias("first_a"), F.col("first_b_").alias("first_b"))
+
+
+# --- cleaning ------------------------------------------------------------------------------------
 
 
 def dropped(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """rk, dropped (positions): lines of which an equal line, or a near one, comes earlier in the corpus.
+    """did, th, dropped (positions): lines of which an equal line, or a near one, comes earlier in the corpus.
 
-    "Earlier" is by doc_id (null last), row key and position. No line goes unless a line within the
-    threshold precedes it, and of equal lines the first decides for all.
+    "Earlier" is by doc_id (null last, by text hash), text hash and position. No line goes unless a
+    line within the threshold precedes it, and of equal lines the first decides for all.
     """
-    lines = occurrences(docs.select("doc_id", "text"), min_chars)
-    unique = distinct_lines(lines, edits, min_chars)
-    pairs = near_pairs(docs, unique, edits)
+    unique = written(distinct_lines(docs, edits, min_chars), "lines")
+    pairs = near_pairs(docs, unique, edits, min_chars)
     later = F.col("first_a") > F.col("first_b")
-    near = pairs.select(F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct().withColumn("near", F.lit(True))
-    judged = unique.join(near, ["h1", "h2"], "left").where("n > 1 or near")
-    judged = judged.select("h1", "h2", F.col("first.rk").alias("rk1"), F.col("first.pos").alias("pos1"), F.coalesce("near", F.lit(False)).alias("near"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    light = lines.select("h1", "h2", "rk", "pos", F.pmod(F.col("rk") + F.col("pos"), F.lit(SALTS)).cast("int").alias("salt"))
-    gone = light.join(judged, ["h1", "h2", "salt"]).where("near or rk != rk1 or pos != pos1")
-    return gone.groupBy("rk").agg(F.collect_set("pos").alias("dropped"))
+    pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
+    near = pairs.select(pick("a1", "b1").alias("h1"), pick("a2", "b2").alias("h2")).distinct().select("h1", "h2", F.lit(None).cast("decimal(38,0)").alias("first"))
+    judged = unique.where("n > 1").select("h1", "h2", "first").union(near)
+    judged = judged.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    light = occurrences(docs, min_chars).select("h1", "h2", "did", "th", "pos", F.pmod(F.col("did") + F.col("pos"), F.lit(SALTS)).cast("int").alias("salt"))
+    gone = light.join(judged, ["h1", "h2", "salt"]).where(F.col("first").isNull() | (F.col("first") != place()))
+    return gone.groupBy("did", "th").agg(F.collect_set("pos").alias("dropped"))
 
 
-def cleaned(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the dropped lines taken out of text, and a column `dropped` (positions, null for none).
+def cleaned(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, into: str | None = "dropped", sizes: str | None = None) -> DataFrame:
+    """docs with the dropped lines taken out of text, and a column `into` (positions, null for none; none if into is None).
 
-    Null and empty texts, and texts of short lines only, come back unchanged; a document whose lines
-    all go keeps an empty text. Repeated rows (equal doc_id and text) are judged as one and stay as many.
+    Column `sizes`, if named, becomes the new text's number of characters where lines went.
+
+    A column of docs that is named as `into` makes way for it. Null and empty texts, and texts of short lines
+    only, come back unchanged; a document whose lines all go keeps an empty text. Repeated rows (equal
+    doc_id and text) are judged as one and stay as many; rows of one doc_id with other texts are
+    documents of their own.
     """
-    gone = dropped(docs, edits, min_chars).withColumnRenamed("rk", "_rk")
-    out = store(docs, "z").join(gone, F.col("_k_z") == F.col("_rk"), "left")
+    gone = dropped(docs.select("doc_id", "text"), edits, min_chars).select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("dropped").alias("_gone"))
+    did, th = document_key()
+    held = docs.select(did.alias("_d"), th.alias("_t"), *[F.col(c).alias(f"_z_{c}") for c in docs.columns])
+    out = held.join(gone, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_th")), "left")
     lines = F.split(F.col("_z_text"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    text = F.when(F.col("dropped").isNull(), F.col("_z_text")).otherwise(F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(f"_z_{c}").alias(c) for c in docs.columns], "dropped")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("_z_text")).otherwise(F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n"))
+    new = {"text": text}
+    if sizes:
+        new[sizes] = F.when(F.col("_gone").isNull(), F.col(f"_z_{sizes}")).otherwise(F.char_length(text).cast(docs.schema[sizes].dataType))
+    more = [F.col("_gone").alias(into)] if into else []
+    return out.select(*[new.get(c, F.col(f"_z_{c}")).alias(c) for c in docs.columns if c != into], *more)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
     return cleaned(docs, min_chars=ALL_LINES).select("doc_id", n.alias("dropped_lines"), F.char_length(text_or_empty()).cast("long").alias("kept_chars"), F.sha2(text_or_empty(), 256).alias("kept_sha256"))
-
-
-SQL = r"""
-WITH o AS (
-  SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-l AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS first FROM o WHERE length(line) >= 32 GROUP BY line),
-c AS (
-  SELECT a.line AS la, b.line AS lb, a.first AS fa, b.first AS fb
-  FROM l a JOIN l b ON a.n = b.n AND (a.line[1:(a.n // 2)] = b.line[1:(a.n // 2)] OR a.line[(a.n // 2 + 1):] = b.line[(a.n // 2 + 1):]) AND a.line <> b.line
-  UNION ALL
-  SELECT a.line, b.line, a.first, b.first FROM l a JOIN l b ON a.n = b.n + 1 AND a.line[1:(b.n // 2)] = b.line[1:(b.n // 2)]
-  UNION ALL
-  SELECT a.line, b.line, a.first, b.first FROM l a JOIN l b ON a.n = b.n + 1 AND a.line[(b.n // 2 + 2):] = b.line[(b.n // 2 + 1):]),
-v AS (SELECT * FROM c WHERE levenshtein(la, lb) <= 1),
-near AS (SELECT DISTINCT CASE WHEN fa > fb THEN la ELSE lb END AS line FROM v),
-k AS (
-  SELECT o.doc_id, o.pos, o.line, (l.line IS NOT NULL AND (near.line IS NOT NULL OR {'d': o.doc_id, 'p': o.pos} <> l.first)) AS gone
-  FROM o LEFT JOIN l ON o.line = l.line LEFT JOIN near ON o.line = near.line)
-SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS dropped_lines,
-       CAST(length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS BIGINT) AS kept_chars,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM k GROUP BY doc_id
-"""

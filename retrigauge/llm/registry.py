@@ -20,5 +20,4 @@ ORACLE_SQL = {
     "op1_chat_format": chat.SQL,
     "op7_warc": warc.SQL,
     "op6_mixing": mixing.SQL,
-    "op10_line_dedup": lines.SQL,
 }
