@@ -20,8 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line, or nearly, go; n_chars follows. Documents stay, even if empty."""
-    out = lines.cleaned(docs, min_chars=lines.ALL_LINES)
-    return out.withColumn("n_chars", F.when(F.col("dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+    return lines.cleaned(docs, min_chars=lines.ALL_LINES, into=None, sizes="n_chars")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
