@@ -26,7 +26,7 @@ HOT, LEVELS = 16, 3
 #: Words of 64 bits of the filter that spares most lines' texts the shuffle of candidates. It may let more pass, never fewer.
 FILTER_WORDS = 1 << 16
 #: Characters whose counts, apart by more than two an edit, tell that two lines are not near (any choice is exact).
-COUNTED = "etaoinsrdlcu"
+COUNTED = "etaoinsrdlcuhmpgbvfywk .,-0123456789"
 
 
 # --- lines and their order -----------------------------------------------------------------------
@@ -73,7 +73,7 @@ def _left(i: int, edits: int) -> bool:
 
 def segment_size(n: Column, edits: int) -> Column:
     """Characters of a segment of a line of n: alike for all lengths of a class, of which an octave has four."""
-    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(n.cast("long"))) - 3, F.lit(0)))
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int") - 2, F.lit(0)))
     return F.floor((n - n % step) / (edits + 1)).cast("int")
 
 
@@ -87,7 +87,7 @@ def _keys(line: Column, n: Column, size: Column, edits: int, *parent: Column) ->
     out = []
     for i, shift in shapes(edits):
         at = _start(n, size, i, shift, edits)
-        out.append(F.when((at >= 0) & (at + size <= n), F.xxhash64(*parent, F.lit(edits * 16 + i), size, F.substring(line, at + 1, size))))
+        out.append(F.when((at >= 0) & (at + size <= n), F.xxhash64(*parent, F.lit(i), size, F.substring(line, at + 1, size))))
     return out
 
 
@@ -103,19 +103,37 @@ def shorter(n: Column, edits: int, min_chars: int) -> Column:
     return F.when(n >= LONG_CHARS, full).otherwise(near)
 
 
-def line_keys(edits: int, min_chars: int) -> list[Column]:
-    """Keys of column `line` (n characters): by its own class, then by the class of shorter lines where that is another one."""
-    line, n = F.col("line"), F.col("n")
-    low = shorter(n, edits, min_chars)
-    few = min(edits, 1)
-    out = []
-    for m, more in ((n, F.lit(True)), (low, (n >= NEAR_CHARS) & ((segment_size(low, edits) != segment_size(n, edits)) | ((low < LONG_CHARS) & ((n >= LONG_CHARS) | (segment_size(low, few) != segment_size(n, few))))))):
-        full = _keys(line, n, segment_size(m, edits), edits)
-        part = _keys(line, n, segment_size(m, few), few)
-        for j, key in enumerate(full):
-            long = F.when((m >= LONG_CHARS) & more, key)
-            out.append(long.when((m >= NEAR_CHARS) & (m < LONG_CHARS) & more, part[j]) if j < len(part) else long)
-    return out
+def _sizes(n: Column, edits: int) -> Column:
+    """Segment size of a line of n characters, null for lines that are not looked up by segments."""
+    return F.when(n >= LONG_CHARS, segment_size(n, edits)).when(n >= NEAR_CHARS, segment_size(n, min(edits, 1)))
+
+
+def line_keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """lines(line, n, ...) with k0, k1, ...: a key for each of shapes(edits) by the line's own class, then by that of shorter lines.
+
+    The latter are null where shorter lines are of the same class. Lines below LONG_CHARS have the
+    first and the last segment only: halves, as one edit leaves two parts.
+    """
+    n = F.col("n")
+    low = F.when(n >= NEAR_CHARS, shorter(n, edits, min_chars))
+    other = (low >= LONG_CHARS) != (n >= LONG_CHARS)
+    lines = lines.withColumn("_s0", _sizes(n, edits)).withColumn("_s1", F.when(other | (_sizes(low, edits) != _sizes(n, edits)), _sizes(low, edits)))
+    lines = lines.withColumn("_f0", n >= LONG_CHARS).withColumn("_f1", low >= LONG_CHARS)
+    # One expression for all shapes: written out for each, the generated code is too long to be compiled well.
+    at = lambda i, d: (i, d, i if _left(i, edits) else i - edits - 1, 0 if _left(i, edits) else 1, i in (0, edits) and not d)
+    places = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("idpqe", at(i, d), strict=True)]) for i, d in shapes(edits)])
+
+    def hashed(size: str, full: str) -> Column:
+        start = lambda x: x["p"] * F.col(size) + x["q"] * F.col("n") + x["d"]
+        key = lambda x: F.xxhash64(x["i"], F.col(size), F.substring("_u", 4 * start(x) + 1, 4 * F.col(size)))
+        return F.when(F.col(size).isNotNull(), F.transform(places, lambda x: F.when(F.col(full) | x["e"], key(x))))
+
+    # Four bytes a character, so that a place is found without a walk over the line.
+    lines = lines.withColumn("_u", F.encode("line", "UTF-32"))
+    lines = lines.withColumn("_k0", hashed("_s0", "_f0")).withColumn("_k1", hashed("_s1", "_f1"))
+    half = len(shapes(edits))
+    keys = [F.get(f"_k{j // half}", F.lit(j % half)).alias(f"k{j}") for j in range(2 * half)]
+    return lines.select("*", *keys).drop("_s0", "_s1", "_f0", "_f1", "_u", "_k0", "_k1")
 
 
 def distinct_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -124,9 +142,9 @@ def distinct_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     Keys are taken where lines are read, so that no line's text is shuffled for them, and equal lines
     are combined before the shuffle.
     """
-    keys = line_keys(edits, min_chars)
-    out = occurrences(docs, min_chars).select("h1", "h2", place().alias("place"), *[k.alias(f"k{j}") for j, k in enumerate(keys)])
-    return out.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *[F.max(f"k{j}").alias(f"k{j}") for j in range(len(keys))])
+    keys = [f"k{j}" for j in range(2 * len(shapes(edits)))]
+    out = line_keys(occurrences(docs, min_chars), edits, min_chars).select("h1", "h2", place().alias("place"), *keys)
+    return out.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in keys])
 
 
 # --- candidates ----------------------------------------------------------------------------------
@@ -177,17 +195,15 @@ def _rest(rows: DataFrame, texts: DataFrame, edits: int, min_chars: int) -> Data
 
     mask has a bit for every level at which the row is a moved substring; a pair needs one side in place at each.
     """
-    n, few, half = F.col("n"), min(edits, 1), len(shapes(edits))
-    m = F.when(F.col("code") < half, n).otherwise(shorter(n, edits, min_chars))
+    n, half = F.col("n"), len(shapes(edits))
+    size = _sizes(F.when(F.col("code") < half, n).otherwise(shorter(n, edits, min_chars)), edits)
+    held = rows.join(texts.select("id", "n"), "id").withColumn("size", size)
     a = b = F.lit(None).cast("int")
-    for e, holds in ((edits, m >= LONG_CHARS), (few, m < LONG_CHARS)):
-        size = segment_size(m, e)
-        for j, (i, shift) in enumerate(shapes(e)):
-            here = holds & (F.pmod(F.col("code"), F.lit(half)) == j)
-            at = _start(n, size, i, shift, e)
-            a = F.when(here, at + size if _left(i, e) else F.lit(0)).otherwise(a)
-            b = F.when(here, n if _left(i, e) else at).otherwise(b)
-    held = rows.join(texts.select("id", "n"), "id")
+    for j, (i, shift) in enumerate(shapes(edits)):
+        here = F.pmod(F.col("code"), F.lit(half)) == j
+        at = _start(n, F.col("size"), i, shift, edits)
+        a = F.when(here, at + F.col("size") if _left(i, edits) else F.lit(0)).otherwise(a)
+        b = F.when(here, n if _left(i, edits) else at).otherwise(b)
     return held.select("key", "id", F.when(F.col("code") <= edits, 0).otherwise(1).alias("mask"), a.alias("a"), b.alias("b"))
 
 
@@ -271,20 +287,22 @@ def _distance(a: Column, b: Column, edits: int) -> Column:
             out = out.bitwiseOR(F.when(F.get(a, j + F.lit(k - edits)) == c, num(1 << k)).otherwise(num(0)))
         return out
 
-    def step(s: Column, eq: Column) -> Column:
-        vp, vn = s["vp"], s["vn"]
-        same = ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(num(full))
-        return _let(same, lambda d0: below(d0, vp, vn, s["d"]))
+    def step(s: Column, c: Column) -> Column:
+        # The diagonal never falls, and the last row is `edits` off it at most: beyond 2 * edits all is told.
+        return F.when(s["d"] > 2 * edits, s).otherwise(_let(match(c, s["j"]), lambda eq: _let(same(eq, s["vp"], s["vn"]), lambda d0: below(d0, s["vp"], s["vn"], s["d"], s["j"]))))
+
+    def same(eq: Column, vp: Column, vn: Column) -> Column:
+        return ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(num(full))
 
-    def below(d0: Column, vp: Column, vn: Column, d: Column) -> Column:
+    def below(d0: Column, vp: Column, vn: Column, d: Column, j: Column) -> Column:
         hp, hn = vn.bitwiseOR(inv(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
         down = F.shiftright(d0, 1)
         grown = d + F.when(d0.bitwiseAND(num(1 << edits)) == 0, 1).otherwise(0)
-        return F.struct(hn.bitwiseOR(inv(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), grown.alias("d"))
+        return F.struct(hn.bitwiseOR(inv(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), grown.alias("d"), (j + 1).alias("j"))
 
-    start = F.struct(num(full ^ ((1 << edits) - 1)).alias("vp"), num(0).alias("vn"), F.lit(0).alias("d"))
+    start = F.struct(num(full ^ ((1 << edits) - 1)).alias("vp"), num(0).alias("vn"), F.lit(0).alias("d"), F.lit(0).alias("j"))
     off = F.size(a) - F.size(b)
-    return _let(F.aggregate(F.transform(b, match), start, step), lambda end: _to_last_row(end, off, edits))
+    return _let(F.aggregate(b, start, step), lambda end: _to_last_row(end, off, edits))
 
 
 def _to_last_row(end: Column, off: Column, edits: int) -> Column:
@@ -317,8 +335,9 @@ def near_pairs(docs: DataFrame, unique: DataFrame, edits: int = EDITS, min_chars
     held = texts.select("id", "h2", "first", "line")
     for x in "ab":
         found = found.join(side(held, f"{x}_"), (F.col(f"id_{x}") == F.col(f"id_{x}_")) & (F.col(f"h2_{x}") == F.col(f"h2_{x}_"))).drop(f"id_{x}_", f"h2_{x}_")
-    apart = distance(F.col("line_a_"), F.col("line_b_"), edits)
-    found = found.where(apart <= F.col("least"))
+    # Few rows, but long to compare: dealt anew, or they would be joined to a handful of tasks.
+    found = found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = found.where(distance(F.col("line_a_"), F.col("line_b_"), edits) <= F.col("least"))
     return found.select(F.col("id_a").alias("a1"), F.col("h2_a").alias("a2"), F.col("id_b").alias("b1"), F.col("h2_b").alias("b2"), F.col("first_a_").alias("first_a"), F.col("first_b_").alias("first_b"))
 
 
@@ -332,7 +351,7 @@ def dropped(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     line within the threshold precedes it, and of equal lines the first decides for all.
     """
     unique = written(distinct_lines(docs, edits, min_chars), "lines")
-    pairs = near_pairs(docs, unique, edits, min_chars)
+    pairs = written(near_pairs(docs, unique, edits, min_chars), "near")
     later = F.col("first_a") > F.col("first_b")
     pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
     near = pairs.select(pick("a1", "b1").alias("h1"), pick("a2", "b2").alias("h2")).distinct().select("h1", "h2", F.lit(None).cast("decimal(38,0)").alias("first"))
@@ -357,9 +376,8 @@ def cleaned(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, int
     did, th = document_key()
     held = docs.select(did.alias("_d"), th.alias("_t"), *[F.col(c).alias(f"_z_{c}") for c in docs.columns])
     out = held.join(gone, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_th")), "left")
-    lines = F.split(F.col("_z_text"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("_z_text")).otherwise(F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n"))
+    left = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone")), lambda p: F.get(ls, p))
+    text = F.when(F.col("_gone").isNull(), F.col("_z_text")).otherwise(F.array_join(_let(F.split(F.col("_z_text"), "\n"), left), "\n"))
     new = {"text": text}
     if sizes:
         new[sizes] = F.when(F.col("_gone").isNull(), F.col(f"_z_{sizes}")).otherwise(F.char_length(text).cast(docs.schema[sizes].dataType))
