@@ -21,12 +21,14 @@ LONG_CHARS = 32
 #: Lines are near if so many character edits or fewer turn one into the other (see LONG_CHARS).
 EDITS = 3
 SALTS = 4
-#: A key that more lines share is not paired: what is left of its lines is cut into segments anew, LEVELS times at most.
-HOT, LEVELS = 16, 3
+#: Lines of a key that more rows share are not paired yet: what is left of them is cut into segments anew, up to LEVELS cuts.
+HOT, LEVELS = 64, 2
 #: Words of 64 bits of the filter that spares most lines' texts the shuffle of candidates. It may let more pass, never fewer.
 FILTER_WORDS = 1 << 16
-#: Characters whose counts, apart by more than two an edit, tell that two lines are not near (any choice is exact).
-COUNTED = "etaoinsrdlcuhmpgbvfywk .,-0123456789"
+#: Groups of characters whose counts, apart by more than two an edit, tell that two lines are not near (any choice is exact).
+COUNTED = ("e", "t", "a", "o", "i", "n", "s", "r", "dl", "cu", "hm", "pgbv", "fywkxzjq", " ", ".,-:;!?\"'()", "0123456789")
+#: What a row of a line carries to tell near lines from others: its length and those counts.
+CARRIED = ("n", *[f"c{i}" for i in range(len(COUNTED))])
 
 
 # --- lines and their order -----------------------------------------------------------------------
@@ -190,28 +192,33 @@ def texts_of(docs: DataFrame, wanted: DataFrame, min_chars: int = MIN_CHARS) ->
     return wanted.join(lines, (F.col("first") == F.col("at")) & (F.col("id") == F.col("h1"))).select("id", "h2", "first", "n", "line").dropDuplicates(["id", "h2"])
 
 
+def _counts(line: Column) -> list[Column]:
+    """How many of the characters of each group a line has: an edit changes these numbers by two in all at most."""
+    return [(F.char_length(line) - F.char_length(F.translate(line, group, ""))).alias(c) for c, group in zip(CARRIED[1:], COUNTED, strict=True)]
+
+
 def _rest(rows: DataFrame, texts: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """key, id, mask, a, b for live rows(key, id, code): what is right of a segment counted from the left, or left of the others.
+    """key, id, mask, a, b, n and counts for live rows(key, id, code): what is right of a segment counted from the left, or left of the others.
 
     mask has a bit for every level at which the row is a moved substring; a pair needs one side in place at each.
     """
     n, half = F.col("n"), len(shapes(edits))
     size = _sizes(F.when(F.col("code") < half, n).otherwise(shorter(n, edits, min_chars)), edits)
-    held = rows.join(texts.select("id", "n"), "id").withColumn("size", size)
+    held = rows.join(texts.select("id", "n", *_counts(F.col("line"))), "id").withColumn("size", size)
     a = b = F.lit(None).cast("int")
     for j, (i, shift) in enumerate(shapes(edits)):
         here = F.pmod(F.col("code"), F.lit(half)) == j
         at = _start(n, F.col("size"), i, shift, edits)
         a = F.when(here, at + F.col("size") if _left(i, edits) else F.lit(0)).otherwise(a)
         b = F.when(here, n if _left(i, edits) else at).otherwise(b)
-    return held.select("key", "id", F.when(F.col("code") <= edits, 0).otherwise(1).alias("mask"), a.alias("a"), b.alias("b"))
+    return held.select("key", "id", F.when(F.col("code") <= edits, 0).otherwise(1).alias("mask"), a.alias("a"), b.alias("b"), *CARRIED)
 
 
 def _again(rows: DataFrame, texts: DataFrame, edits: int, level: int) -> DataFrame:
     """rows(key, id, mask, a, b) with their line's part from a to b cut into segments anew, under their key."""
     n = F.col("b") - F.col("a")
-    part = rows.join(texts.select("id", "line"), "id").select("key", "id", "mask", "a", "b", n.alias("n"), F.substring("line", F.col("a") + 1, n).alias("line"))
-    n, line = F.col("n"), F.col("line")
+    part = rows.join(texts.select("id", "line"), "id").select("key", "id", "mask", "a", "b", *CARRIED, n.alias("size"), F.substring("line", F.col("a") + 1, n).alias("line"))
+    n, line = F.col("size"), F.col("line")
     found = []
     for own, m in ((True, n), (False, F.greatest(n - edits, F.lit(0)))):
         size = segment_size(m, edits)
@@ -227,15 +234,17 @@ def _again(rows: DataFrame, texts: DataFrame, edits: int, level: int) -> DataFra
             a = F.when(size == 0, F.col("a")).otherwise(at + size if _left(i, edits) else F.col("a"))
             b = F.when(size == 0, F.col("b")).otherwise(F.col("b") if _left(i, edits) else at)
             found.append(F.struct(key.alias("key"), F.col("mask").bitwiseOR(moved).alias("mask"), a.cast("int").alias("a"), b.cast("int").alias("b")))
-    out = part.select("id", F.explode(F.filter(F.array(*found), lambda x: x["key"].isNotNull())).alias("x"))
-    return out.select("x.key", "id", "x.mask", "x.a", "x.b")
+    out = part.select("id", *CARRIED, F.explode(F.filter(F.array(*found), lambda x: x["key"].isNotNull())).alias("x"))
+    return out.select("x.key", "id", "x.mask", "x.a", "x.b", *CARRIED)
 
 
-def _paired(rows: DataFrame) -> DataFrame:
-    """(x, y), x < y: ids of one key of which one is in place at every level."""
-    other = rows.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("mask").alias("mask2"))
-    found = rows.select("key", "id", "mask").join(other, (F.col("key") == F.col("key2")) & (F.col("id") < F.col("id2")) & (F.col("mask").bitwiseAND(F.col("mask2")) == 0))
-    return found.select(F.col("id").alias("x"), F.col("id2").alias("y"))
+def _paired(rows: DataFrame, edits: int) -> DataFrame:
+    """(x, y), x < y: ids of one key of which one is in place at every level, as long and with as many of each character as near lines are."""
+    other = rows.select(*[F.col(c).alias(f"{c}_") for c in ("key", "id", "mask", *CARRIED)])
+    few = F.abs(F.col("n") - F.col("n_")) <= edits
+    apart = sum((F.abs(F.col(c) - F.col(f"{c}_")) for c in CARRIED[1:]), F.lit(0)) <= 2 * edits
+    found = rows.join(other, (F.col("key") == F.col("key_")) & (F.col("id") < F.col("id_")) & (F.col("mask").bitwiseAND(F.col("mask_")) == 0) & few & apart)
+    return found.select(F.col("id").alias("x"), F.col("id_").alias("y"))
 
 
 def candidates(live: DataFrame, texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -250,7 +259,7 @@ def candidates(live: DataFrame, texts: DataFrame, edits: int = EDITS, min_chars:
         rows = written(rows, "keys")
         many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > HOT)
         last = level == LEVELS or not many.limit(1).count()
-        found = _paired(rows if last else rows.join(many, "key", "left_anti"))
+        found = _paired(rows if last else rows.join(many, "key", "left_anti"), edits)
         out = found if out is None else out.union(found)
         if last:
             return out.distinct()
@@ -272,7 +281,21 @@ def distance(a: Column, b: Column, edits: int) -> Column:
     bits of two numbers (where the distance grows and where it falls from one row to the next).
     Lengths may differ by `edits` at most.
     """
-    return _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda s: _distance(s["a"], s["b"], edits))
+    # What both begin and end with does not count: cut off, turned, cut off again.
+    begin = _let(F.struct(a.alias("a"), b.alias("b")), lambda s: _without_common_prefix(s["a"], s["b"]))
+    turned = _let(begin, lambda s: F.struct(F.reverse(s["a"]).alias("a"), F.reverse(s["b"]).alias("b")))
+    middle = _let(turned, lambda s: _without_common_prefix(s["a"], s["b"]))
+    chars = lambda s: F.struct(*[F.filter(F.split(s[c], ""), lambda x: x != "").alias(c) for c in "ab"])
+    return _let(_let(middle, chars), lambda s: _distance(s["a"], s["b"], edits))
+
+
+def _without_common_prefix(a: Column, b: Column) -> Column:
+    """Struct (a, b) without what both begin with (131,071 characters of it at most), found by halving."""
+    at = F.lit(0)
+    for step in range(16, -1, -1):
+        at = _let(at, lambda p, w=1 << step: F.when((p + w <= F.least(F.char_length(a), F.char_length(b))) & (F.substring(a, p + 1, F.lit(w)) == F.substring(b, p + 1, F.lit(w))), p + w).otherwise(p))
+    rest = lambda x, p: F.substring(x, p + 1, F.char_length(x))
+    return _let(at, lambda p: F.struct(rest(a, p).alias("a"), rest(b, p).alias("b")))
 
 
 def _distance(a: Column, b: Column, edits: int) -> Column:
@@ -315,30 +338,21 @@ def _to_last_row(end: Column, off: Column, edits: int) -> Column:
     return total
 
 
-def _counts(line: Column) -> Column:
-    return F.array(*[F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
-
-
 def near_pairs(docs: DataFrame, unique: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs of different lines at most `edits` apart (one below LONG_CHARS): a1, a2, b1, b2 (hashes), first_a, first_b."""
     live = written(live_rows(unique, edits), "live")
     ids = live.select("id").distinct()
     wanted = passing(unique.select(F.col("h1").alias("id"), "h2", "first"), F.col("id"), ids, F.col("id")).join(ids, "id", "left_semi")
     texts = written(texts_of(docs, written(wanted, "wanted"), min_chars), "texts")
-    light = texts.select("id", "h2", "n", _counts(F.col("line")).alias("c"))
     side = lambda df, x: df.select(*[F.col(c).alias(f"{c}_{x}") for c in df.columns])
-    found = candidates(live, texts, edits, min_chars).join(side(light, "a"), F.col("x") == F.col("id_a")).join(side(light, "b"), F.col("y") == F.col("id_b"))
+    found = written(candidates(live, texts, edits, min_chars), "pairs")
+    held = texts.select("id", "h2", "first", "n", "line")
+    found = found.join(side(held, "a"), F.col("x") == F.col("id_a")).join(side(held, "b"), F.col("y") == F.col("id_b"))
     least = allowed(F.least("n_a", "n_b"), edits)
-    apart = F.aggregate(F.zip_with("c_a", "c_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, x: s + x)
-    found = found.where((F.abs(F.col("n_a") - F.col("n_b")) <= least) & (apart <= 2 * least))
-    found = written(found.select("id_a", "h2_a", "id_b", "h2_b", least.alias("least")), "pairs")
-    held = texts.select("id", "h2", "first", "line")
-    for x in "ab":
-        found = found.join(side(held, f"{x}_"), (F.col(f"id_{x}") == F.col(f"id_{x}_")) & (F.col(f"h2_{x}") == F.col(f"h2_{x}_"))).drop(f"id_{x}_", f"h2_{x}_")
-    # Few rows, but long to compare: dealt anew, or they would be joined to a handful of tasks.
-    found = found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = found.where(distance(F.col("line_a_"), F.col("line_b_"), edits) <= F.col("least"))
-    return found.select(F.col("id_a").alias("a1"), F.col("h2_a").alias("a2"), F.col("id_b").alias("b1"), F.col("h2_b").alias("b2"), F.col("first_a_").alias("first_a"), F.col("first_b_").alias("first_b"))
+    # Spark's levenshtein, banded too and compiled, puts aside the pairs that are far from near; bit vectors decide on the rest.
+    found = found.where((F.abs(F.col("n_a") - F.col("n_b")) <= least) & (F.levenshtein("line_a", "line_b", edits) >= 0))
+    found = found.where(distance(F.col("line_a"), F.col("line_b"), edits) <= least)
+    return found.select(F.col("id_a").alias("a1"), F.col("h2_a").alias("a2"), F.col("id_b").alias("b1"), F.col("h2_b").alias("b2"), "first_a", "first_b")
 
 
 # --- cleaning ------------------------------------------------------------------------------------

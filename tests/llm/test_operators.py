@@ -425,7 +425,7 @@ def test_edit_join_by_length_class(spark, edits):
     assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if _distance(a, b) <= most(min(len(a), len(b)))}
 
 
-@pytest.mark.parametrize(("edits", "levels"), [(1, 3), (2, 2), (3, 1), (3, 3)])
+@pytest.mark.parametrize(("edits", "levels"), [(1, 3), (2, 2), (3, 3)])
 def test_edit_join_of_hot_keys(spark, monkeypatch, edits, levels):
     """Hundreds of lines that share most of their text, some of them near: keys beyond HOT are cut anew."""
     monkeypatch.setattr(lines, "LEVELS", levels)
