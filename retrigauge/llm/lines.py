@@ -25,8 +25,8 @@ SALTS = 4
 HOT, LEVELS = 64, 2
 #: Words of 64 bits of the filter that spares most lines' texts the shuffle of candidates. It may let more pass, never fewer.
 FILTER_WORDS = 1 << 16
-#: Groups of characters whose counts, apart by more than two an edit, tell that two lines are not near (any choice is exact).
-COUNTED = ("e", "t", "a", "o", "i", "n", "s", "r", "dl", "cu", "hm", "pgbv", "fywkxzjq", " ", ".,-:;!?\"'()", "0123456789")
+#: Characters whose counts, apart by more than two an edit, tell that two lines are not near (any choice is exact).
+COUNTED = "etaoinsrdlhu"
 #: What a row of a line carries to tell near lines from others: its length and those counts.
 CARRIED = ("n", *[f"c{i}" for i in range(len(COUNTED))])
 
@@ -154,14 +154,11 @@ def distinct_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
 
 def live_rows(unique: DataFrame, edits: int = EDITS) -> DataFrame:
     """key, id (h1), code (place in line_keys) of every key that a different line has too, in place on at least one side."""
-    half = len(shapes(edits))
-    rows = None
-    for at in (0, half):
-        part = unique.select("h1", F.posexplode(F.array(*[f"k{j}" for j in range(at, at + half)])).alias("code", "key")).where("key is not null")
-        part = part.select("key", F.col("h1").alias("id"), (F.col("code") + at).alias("code"))
-        rows = part if rows is None else rows.union(part)
-    other = rows.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("code").alias("code2"))
-    return rows.join(other, (F.col("key") == F.col("key2")) & (F.col("id") != F.col("id2")) & ((F.col("code") <= edits) | (F.col("code2") <= edits)), "left_semi")
+    rows = unique.select("h1", F.posexplode(F.array(*[f"k{j}" for j in range(2 * len(shapes(edits)))])).alias("code", "key"))
+    rows = rows.where("key is not null")
+    # Both sides are the same rows under the same names, so that one shuffle serves both.
+    two = (F.col("l.key") == F.col("r.key")) & (F.col("l.h1") != F.col("r.h1")) & ((F.col("l.code") <= edits) | (F.col("r.code") <= edits))
+    return rows.alias("l").join(rows.alias("r"), two, "left_semi").select("key", F.col("h1").alias("id"), "code")
 
 
 def _bit(x: Column) -> tuple[Column, Column]:
@@ -187,14 +184,14 @@ def texts_of(docs: DataFrame, wanted: DataFrame, min_chars: int = MIN_CHARS) ->
 
     Other lines' texts are filtered before the shuffle, as far as the filter can tell.
     """
-    lines = occurrences(docs, min_chars).select("line", "n", place().alias("at"), "h1")
+    lines = passing(occurrences(docs, min_chars), F.col("h1"), wanted, F.col("id")).select("line", "n", "h1", place().alias("at"))
     lines = passing(lines, F.col("at"), wanted, F.col("first"))
     return wanted.join(lines, (F.col("first") == F.col("at")) & (F.col("id") == F.col("h1"))).select("id", "h2", "first", "n", "line").dropDuplicates(["id", "h2"])
 
 
 def _counts(line: Column) -> list[Column]:
-    """How many of the characters of each group a line has: an edit changes these numbers by two in all at most."""
-    return [(F.char_length(line) - F.char_length(F.translate(line, group, ""))).alias(c) for c, group in zip(CARRIED[1:], COUNTED, strict=True)]
+    """How often a line has each of these ASCII characters: an edit changes the numbers by two in all at most."""
+    return [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))).alias(c) for c, x in zip(CARRIED[1:], COUNTED, strict=True)]
 
 
 def _rest(rows: DataFrame, texts: DataFrame, edits: int, min_chars: int) -> DataFrame:
