@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch, beyond which a batch ends with the row that reached it.
+BATCH_BYTES = 16 << 20
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where all run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="retrigauge-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -45,7 +49,8 @@ def text_or_empty(name: str = "text"):
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most `rows` rows in an Arrow batch from now on: whole texts are long, and workers hold a batch at a time."""
+    """At most `rows` rows and BATCH_BYTES in an Arrow batch from now on: whole texts are long, and workers hold a batch at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))

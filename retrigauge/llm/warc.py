@@ -5,19 +5,21 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, small_batches, table, text_or_empty
+from .shared import new_path, small_batches, table, text_or_empty, written
 
 #: Equal payloads of fewer bytes are all stored; longer ones are stored once.
 LEAST_SHARED = 100
-#: Records in one archive file, so that a file can be read whole by one task.
-FILE_RECORDS = 2000
+#: Bytes of records that are written as one value, and such values in one archive file, so that a
+#: file can be read whole by one task; a larger record is a value of its own.
+BLOCK_BYTES, FILE_BLOCKS = 1 << 20, 32
 _SALTS = 8
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _END_HEAD = b"\r\n\r\n"
@@ -53,9 +55,9 @@ def member(data: bytes) -> bytes:
 
 @dataclass
 class Salvage:
-    """What a reader found: records as (offset, headers, body) and the byte gaps that it put aside."""
+    """What a reader found: records as (offset, headers, what `of` makes of the body) and the byte gaps that it put aside."""
 
-    records: list[tuple[int, dict[str, str], bytes]] = field(default_factory=list)
+    records: list[tuple[int, dict[str, str], Any]] = field(default_factory=list)
     gaps: list[tuple[int, int, str]] = field(default_factory=list)
 
     def gap(self, start: int, end: int, why: str) -> None:
@@ -99,7 +101,7 @@ def _proved(heads: dict[str, str]) -> bool:
     return heads.get("warc-block-digest", "").startswith("sha256:")
 
 
-def _member_records(plain: bytes, out: Salvage, start: int, end: int, prove: bool = False) -> None:
+def _member_records(plain: bytes, out: Salvage, start: int, end: int, of: Callable[[bytes], Any], prove: bool = False) -> None:
     """Records of a member that lies from start to end, all with its offset; a gap of its place for each bad one.
 
     With prove, records without a digest that vouches for them are bad.
@@ -110,7 +112,7 @@ def _member_records(plain: bytes, out: Salvage, start: int, end: int, prove: boo
             heads, body, behind = _record_at(plain, at)
             if prove and not _proved(heads):
                 raise ValueError("no digest to prove a record of a damaged member")
-            out.records.append((start, heads, body))
+            out.records.append((start, heads, of(body)))
             at = behind
         except ValueError as why:
             out.gap(start, end, str(why))
@@ -126,9 +128,11 @@ def _single(plain: bytes) -> bool:
         return False
 
 
-def salvaged(data: bytes) -> Salvage:
+def salvaged(data: bytes, of: Callable[[bytes], Any] = bytes) -> Salvage:
     """All records that pass their checks, in order, whatever lies between, plain or in gzip members.
 
+    Of each body only what `of` makes of it is kept.
+
     After a record or member that fails, reading goes on at the nearer of the next version line and
     the next member header behind its start. Of a member that is cut, the records inflated before the
     cut stay; of one that is damaged (bad stream, wrong checksum), those that their digest proves. A
@@ -149,20 +153,20 @@ def salvaged(data: bytes) -> Salvage:
         if data.startswith(_MAGIC, at):
             plain, end, why = _inflated(data, at)
             if why is None:
-                _member_records(plain, out, at, end)
+                _member_records(plain, out, at, end, of)
                 at = end
                 continue
             stop, before = resume(at + 1, b""), len(out.records)
             if not _single(plain):
-                _member_records(plain, out, at, stop, prove=isinstance(why, zlib.error))
+                _member_records(plain, out, at, stop, of, prove=isinstance(why, zlib.error))
             out.gap(at, stop, str(why))
             upto, kept = end, [x[1:] for x in out.records[before:]]
             at = stop
             continue
         try:
             heads, body, end = _record_at(data, at)
-            if at >= upto or (heads, body) not in kept:
-                out.records.append((at, heads, body))
+            if at >= upto or (heads, of(body)) not in kept:
+                out.records.append((at, heads, of(body)))
             at = end
         except ValueError as why:
             stop = resume(at + 1, b"" if at < upto else b"\n")
@@ -222,48 +226,76 @@ def write_archives(pages: DataFrame, path: str) -> None:
     separator: here the zero byte with which the empty member behind each record ends.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for page, url, html, digest, size, owner in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["digest"], pdf["size"], pdf["owner"], strict=True):
-                page, owner = None if pd.isna(page) else int(page), None if pd.isna(owner) else int(owner)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, size = [], 0
+            for row in range(batch.num_rows):
+                page, url, html, digest, n, owner = (batch.column(c)[row].as_py() for c in ("page_id", "url", "html", "digest", "size", "owner"))
                 kind = "revisit" if owner is not None and owner != page else "response"
-                out.append(member(record(page, url, kind, digest, int(size), owner, html.encode("utf-8", "surrogatepass"))) + EMPTY_MEMBER[:-1])
-            yield pd.DataFrame({"value": out})
+                block.append(member(record(page, url, kind, digest, n, owner, html)) + EMPTY_MEMBER)
+                size += len(block[-1])
+                if size >= BLOCK_BYTES or row == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(block)[:-1]], pa.binary())], ["value"])
+                    block, size = [], 0
 
     small_batches(pages.sparkSession)
-    values = classified(pages).mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    values.write.option("lineSep", "\u0000").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    values = classified(pages).withColumn("html", F.col("html").cast("binary")).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    values.write.option("lineSep", "\u0000").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
+
+
+def archive_rows(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row per record and per quarantined gap of all archives under path; rows of gaps have a reason.
+
+    Without payloads these are checked and dropped where they are read.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = "file string, offset long, end long, record_type string, record_id string, refers_to string, uri string, payload_digest string, payload_bytes long, payload binary, reason string"
+    kinds = {"offset": pa.int64(), "end": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
+    names = [x.split()[0] for x in schema.split(", ")]
+    arrow = pa.schema([(x, kinds.get(x, pa.string())) for x in names])
+
+    def of(body: bytes) -> tuple[str, int, bytes | None]:
+        return hashlib.sha256(body).hexdigest(), len(body), bytes(body) if payloads else None
+
+    def rows(name: str, content: bytes) -> Iterator[dict]:
+        found = salvaged(content, of)
+        for at, heads, (digest, n, body) in found.records:
+            kind = heads.get("warc-type")
+            if kind == "revisit":  # what it says of the payload that it stands for
+                size = heads.get("x-payload-length", "")
+                digest, n, body = heads.get("warc-payload-digest", "").removeprefix("sha256:") or None, int(size) if size.isdigit() else None, None
+            yield {"file": name, "offset": at, "record_type": kind, "record_id": heads.get("warc-record-id"), "refers_to": heads.get("warc-refers-to"), "uri": heads.get("warc-target-uri"), "payload_digest": digest, "payload_bytes": n, "payload": body}
+        for a, b, why in found.gaps:
+            yield {"file": name, "offset": a, "end": b, "reason": why}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held, size = [], 0
+                for x in rows(batch.column(0)[row].as_py(), batch.column(1)[row].as_py()):
+                    held.append(x)
+                    size += 500 + len(x.get("payload") or b"")
+                    if size >= BLOCK_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, arrow)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, arrow)
+
+    small_batches(spark)
+    return files.mapInArrow(run, schema)
 
 
 def read_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, quarantined gaps) of all archives under path.
 
     records: file, offset, record_type, record_id, refers_to, uri, payload_digest, payload_bytes, payload
-    (null for revisits). gaps: file, start, end, reason.
+    (null for revisits). gaps: file, start, end, reason. No archive, no row.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return split_rows(archive_rows(spark, path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                found = salvaged(bytes(content))
-                rows = []
-                for at, heads, body in found.records:
-                    kind = heads.get("warc-type")
-                    stated = heads.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                    size = heads.get("x-payload-length", "")
-                    own = None if kind == "revisit" else body
-                    digest = stated if kind == "revisit" else hashlib.sha256(body).hexdigest()
-                    n = (int(size) if size.isdigit() else None) if kind == "revisit" else len(body)
-                    rows.append((name, at, None, kind, heads.get("warc-record-id"), heads.get("warc-refers-to"), heads.get("warc-target-uri"), digest, n, own, None))
-                rows += [(name, a, b, None, None, None, None, None, None, None, why) for a, b, why in found.gaps]
-                for i in range(0, len(rows), 500):
-                    frame = pd.DataFrame(rows[i : i + 500], columns=["file", "offset", "end", "record_type", "record_id", "refers_to", "uri", "payload_digest", "payload_bytes", "payload", "reason"])
-                    yield frame.astype({"end": "Int64", "payload_bytes": "Int64"})
 
-    schema = "file string, offset long, end long, record_type string, record_id string, refers_to string, uri string, payload_digest string, payload_bytes long, payload binary, reason string"
-    every = files.mapInPandas(run, schema)
+def split_rows(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records and gaps of archive_rows."""
     gaps = every.where("reason is not null").select("file", F.col("offset").alias("start"), "end", "reason")
     return every.where("reason is null").drop("end", "reason"), gaps
 
@@ -275,7 +307,8 @@ def page_number(name: str) -> Column:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    records, _ = read_archives(spark, path)
+    # What was read is a table of its own, the gaps beside the records.
+    records, _ = split_rows(written(archive_rows(spark, path, payloads=False), "warc-read"))
     return records.select(
         page_number("record_id").alias("page_id"),
         "payload_bytes",

@@ -256,6 +256,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted([("1", "response", None, 0), ("2", "response", None, 160), ("3", "revisit", 2, 160), ("3", "revisit", 2, 160), ("4", "response", None, 5), ("5", "response", None, 5), ("None", "revisit", 2, 160)])
 
 
+def test_warc_edges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 4000)
+    kind = "page_id long, url string, html string"
+    big = "".join(random.Random(2).choices("abc é", k=400_000))
+    pages = spark.createDataFrame([(i, "u", big if i == 3 else f"page {i} " * 30) for i in range(40)], kind)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    records, gaps = warc.read_archives(spark, str(tmp_path / "w"))
+    got = {int(r.record_id[10:-1]): bytes(r.payload).decode() for r in records.collect()}
+    assert got == {r.page_id: r.html for r in pages.collect()} and gaps.count() == 0
+    path = next((tmp_path / "w").glob("part-*"))
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.warc.gz").write_bytes(bytes(data))
+    records, gaps = warc.read_archives(spark, str(tmp_path / "bad"))
+    assert gaps.count() >= 1 and records.count() >= 1
+    warc.write_archives(pages.limit(0), str(tmp_path / "none"))
+    assert [x.count() for x in warc.read_archives(spark, str(tmp_path / "none"))] == [0, 0]
+
+
 # --- 8 -------------------------------------------------------------------------------------------
 
 
