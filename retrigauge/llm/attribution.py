@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from .shared import small_batches, table, text_or_empty
 from .tokens import chunks, default_path, tokenizer
 
+#: White space that separates words, and nothing else does.
+BLANKS = ("\t", "\n", "\x0b", "\x0c", "\r", " ")
 _BLANK = np.zeros(33, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BLANK[[ord(x) for x in BLANKS]] = True
 
 
 def word_starts(text: str) -> np.ndarray:
@@ -77,8 +79,9 @@ def attributed(docs: DataFrame, sections: Column, path: str | None = None) -> Da
                         continue
                     own = counts[first[k] : first[k + 1]]
                     at = word_starts(texts[a + k])
-                    if len(own) > len(at):  # empty words of leading or trailing blanks
-                        own = own[own > 0] if (own > 0).sum() == len(at) else own[int(texts[a + k][:1].isspace()) :][: len(at)]
+                    # Blanks at either end make an empty word there; an empty text is one empty word.
+                    lead = int(texts[a + k][:1] in BLANKS)
+                    own = own[lead : lead + len(at)]
                     span = places[total[first[k]] : total[first[k + 1]]]
                     base = np.repeat(at, own)
                     names = [x["name"] for x in secs[a + k]]

@@ -14,7 +14,10 @@ from .shared import small_batches, table, text_or_empty
 
 #: Bounds of the sample that the classifier is fitted on; prediction reads every text whole.
 PER_LANG, MAX_LANGS, MAX_TRAIN_CHARS = 200, 256, 20_000
+#: Landmark texts, at least one of every language, and byte grams; both belong to the fit alone.
 LANDMARKS, VOCABULARY, RIDGE = 96, 4096, 1e-3
+#: Parts of a language that are ranked on their own first.
+DEALT = 64
 #: Of the share of known grams that 99 in 100 labelled texts reach, a text in a known language has at least this part.
 KNOWN_SHARE = 0.7
 UND = "und"
@@ -122,7 +125,7 @@ def fitted(texts: list[str], langs: list[str]) -> Kernel | None:
         at.setdefault(lang, []).append(i)
     for k in range(max(map(len, at.values()))):
         picked += [at[lang][k] for lang in model.langs if k < len(at[lang])]
-    model.landmarks = x[picked[:LANDMARKS]]
+    model.landmarks = x[picked[: max(LANDMARKS, len(model.langs))]]
     values, vectors = np.linalg.eigh(model.similarity(model.landmarks, model.landmarks).astype(np.float64))
     good = values > 1e-6 * values[-1]
     half = vectors[:, good] / np.sqrt(values[good])
@@ -141,8 +144,12 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str
     """At most per_lang distinct texts of each language, those of least text hash; never a held-out document."""
     rows = docs.where(F.col("lang").isNotNull() & ~held_out() & F.length("text").between(1, MAX_TRAIN_CHARS))
     rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    # A common language is dealt to many tasks by hash, each of which keeps its least; these few are ranked once more.
+    deal = F.pmod(F.shiftright("h", 8), F.lit(DEALT))
+    first = F.row_number().over(Window.partitionBy("lang", "deal").orderBy("h"))
+    few = rows.select("lang", "h", deal.alias("deal")).distinct().withColumn("r", first).where(F.col("r") <= per_lang)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    few = rows.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= per_lang)
+    few = few.withColumn("r", rank).where(F.col("r") <= per_lang)
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
     picked = few.join(F.broadcast(sizes), "lang", "left_semi").select("lang", "h")  # at most 256 rows
     pairs = [(r["lang"], r["h"]) for r in picked.collect()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, table, text_or_empty, written
@@ -14,14 +14,19 @@ SHARE, CAP = 1.5, 2.0
 DIGIT, LEVELS = 12, 5
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and h, a 60-bit hash of doc_id and text that never changes between runs."""
+def key_hash() -> Column:
+    """A 60-bit hash of doc_id and text that never changes between runs."""
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_or_empty())
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size (words) and h, the hash of doc_id and text."""
     return docs.select(
         "doc_id",
         "source",
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("h"),
+        key_hash().alias("h"),
     )
 
 
@@ -107,11 +112,12 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     null text has size 0; an empty table gives an empty mix.
     """
     sizes = written(sized(docs), "sizes")
-    cut = thresholds(sizes, targets(sizes, **how)).select(F.col("source").alias("_s"), "copies", "below")
-    keyed = docs.withColumn("_h", F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_or_empty())), 1, 15), 16, 10).cast("long"))
-    out = keyed.join(F.broadcast(cut) if _small(cut) else cut, F.col("source").eqNullSafe(F.col("_s")), "left")
-    times = (F.col("copies") + F.when(F.col("_h") < F.col("below"), 1).otherwise(0)).cast("int")
-    return out.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    cut = thresholds(sizes, targets(sizes, **how)).select(F.col("source").alias("_s"), F.col("copies").alias("_copies"), F.col("below").alias("_below"))
+    held = docs.select(key_hash().alias("_h"), F.col("source").alias("_source"), *[F.col(c).alias(f"_z_{c}") for c in docs.columns])
+    out = held.join(F.broadcast(cut) if _small(cut) else cut, F.col("_source").eqNullSafe(F.col("_s")), "left")
+    times = (F.col("_copies") + F.when(F.col("_h") < F.col("_below"), 1).otherwise(0)).cast("int")
+    taken = out.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times)))
+    return taken.select(*[F.col(f"_z_{c}").alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_batches, table, written
+from .shared import small_batches, table, text_or_empty, written
 
 SHINGLE, SEED, NEAR = 4, 42, 4
 SALTS = 8
@@ -37,14 +37,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: a narrow map over whole texts; a null text counts as empty and has fingerprint 0."""
+    """doc_id, th (hash of the text), fp: a narrow map over whole texts; a null text counts as empty and has fingerprint 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": [fingerprint(x) for x in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "fp": [fingerprint(x) for x in pdf["text"]]})
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", text_hash().alias("th"), "text").mapInPandas(run, "doc_id long, th long, fp long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(text_or_empty())
 
 
 def segments(n: int) -> list[tuple[int, int, int]]:
@@ -76,7 +80,7 @@ def links(prints: DataFrame, n: int) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for prints(doc_id, fp): least doc_id reachable over links, itself included.
+    """prints(doc_id, fp, ...) with component_id, the least doc_id reachable over links, itself included, and root, its group's least fingerprint.
 
     Equal fingerprints are one node, so groups of exact copies cost one row. A null doc_id takes part
     and gets the component of its fingerprint (null if no other document shares it). Repeated rows
@@ -87,23 +91,25 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     comps = components(links(nodes.select("fp"), nodes.count()))
     held = nodes.join(comps, nodes["fp"] == comps["node"], "left").select("fp", "low", "n", "component")
     lows = held.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))
-    shared = held.where("n > 1 or component is not null").join(lows, "component", "left").select("fp", F.coalesce("least", "low").alias("least"))
+    shared = held.where("n > 1 or component is not null").join(lows, "component", "left").select("fp", F.coalesce("least", "low").alias("least"), F.coalesce("component", "fp").alias("root"))
     shared = shared.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(shared, ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("least", "doc_id").alias("component_id"))
+    return salted.join(shared, ["fp", "salt"], "left").select(*prints.columns, F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, that of least doc_id; all columns unchanged.
+    """One document of each group of near-duplicates, all columns unchanged.
 
-    Documents with a null doc_id stay unless they share a fingerprint or link with one that has an
-    id. If doc_ids repeat, equal rows of (doc_id, text) are one document and stay once.
+    It is that of least doc_id (null last), of equal ones that of the least fingerprint and text hash;
+    of rows equal in doc_id and text any one.
     """
-    found = near_duplicates(fingerprints(docs)).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    found = written(found, "kept")
-    # A merge join at every size: a broadcast of kept ids would be right for small inputs only.
-    out = docs.join(found.hint("merge"), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if found.where("n > 1").limit(1).count() else out
+    found = near_duplicates(fingerprints(docs)).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "th")).alias("x"))
+    one = written(found.select(F.coalesce("x.doc_id", F.lit(0)).alias("_i"), F.col("x.none").alias("_n"), F.col("x.th").alias("_t")), "kept")
+    held = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), text_hash().alias("_th"), *[F.col(c).alias(f"_z_{c}") for c in docs.columns])
+    # A merge join at every size: a broadcast of kept ids would be right for small inputs only. Its
+    # keys are never null, so that repeated rows go without another shuffle of texts.
+    out = held.join(one.hint("merge"), (F.col("_id") == F.col("_i")) & (F.col("_none") == F.col("_n")) & (F.col("_th") == F.col("_t")), "left_semi")
+    return out.dropDuplicates(["_id", "_none", "_th"]).select(*[F.col(f"_z_{c}").alias(c) for c in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from retrigauge.llm.tokens import WordTokenizer, default_path
 
 from ..conftest import DATA
 
+#: Names that the operators use within.
+CLASH = ["dropped", "salt", "copies", "below", "times", "size", "h", "fp", "th", "root", "component_id", "least", "low", "node", "key", "taken", "line", "pos", "rk", "_h", "_n", "_s", "_id", "_i", "_t"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -23,7 +25,7 @@ def odd(spark):
     """Nulls everywhere, empty and long texts, ties, repeated rows, and a column whose name clashes."""
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two three", "en", "a", 13), (3, "one two three", "en", "a", 13), (4, long, "en", None, len(long)), (None, "no id here", None, "b", 10), (5, "12 !! 34", "en", "b", 8), (6, "One Two three", "fr", "b", 13)]
-    return spark.createDataFrame(rows, DOCS).withColumn("dropped", F.lit("x")).withColumn("salt", F.lit(1))
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(i) for i, c in enumerate(CLASH)})
 
 
 def docs_of(spark, rows):
@@ -298,6 +300,27 @@ def test_attribution_by_largest_share(spark, odd):
     assert attribution.attributed(odd.limit(0), attribution.quarters(F.col("text"))).count() == 0
 
 
+def test_attribution_of_blanks(spark):
+    """White space at the ends, whether or not it separates words, against the tokenizer's own offsets; crossing tokens too."""
+    t = WordTokenizer(default_path())
+    r = random.Random(8)
+    blanks = ["\u00a0", "\u3000", " ", "\n", "\t", "\x1c", "\x0b"]
+    texts = ["", " ", "\u3000", "\u00a0 hello world\n", "\u3000 " + "hello world again " * 2]
+    texts += ["".join(r.choices([*blanks, "hello", "wörld", "漢字", "antidisestablish", "x"], k=r.randint(1, 14))) for _ in range(150)]
+    got = {}
+    for x in attribution.attributed(docs_of(spark, list(enumerate(texts))), attribution.quarters(F.col("text"))).collect():
+        got.setdefault(x.doc_id, {})[x.section_no] = (x.tokens, x.crossing)
+    for k, x in enumerate(texts):
+        n, q = len(x), len(x) // 4
+        sections, counts = [(0, q), (q, n - q), (n - q, n)], [[0, 0] for _ in range(3)]
+        for a, b in t.slow.encode(x, add_special_tokens=False).offsets:
+            held = [max(0, min(b, e) - max(a, s)) for s, e in sections]
+            at = held.index(max(held))
+            counts[at][0] += 1
+            counts[at][1] += sum(h > 0 for h in held) > 1
+        assert [list(got[k][i]) for i in range(3)] == counts, repr(x)
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 
 
@@ -351,6 +374,9 @@ def test_simhash_components(spark, odd):
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id = 2").count() == 0
     assert simhash.near_duplicates(simhash.fingerprints(odd.limit(0))).count() == 0
+    t, u = "one text of a few words only", "and another of quite other words"
+    repeated = docs_of(spark, [(1, t), (3, u), (3, t), (None, t), (None, "no id"), (None, "no id"), (4, u), (4, "a third")])
+    assert sorted((str(r.doc_id), r.text) for r in simhash.keep_first(repeated).collect()) == [("1", t), ("3", u), ("4", "a third"), ("None", "no id")]
 
 
 def test_components_of_a_long_path(spark):
