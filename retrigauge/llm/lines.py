@@ -26,7 +26,7 @@ HOT, LEVELS = 64, 2
 #: Words of 64 bits of the filter that spares most lines' texts the shuffle of candidates. It may let more pass, never fewer.
 FILTER_WORDS = 1 << 16
 #: Characters whose counts, apart by more than two an edit, tell that two lines are not near (any choice is exact).
-COUNTED = "etaoinsrdlhu"
+COUNTED = "etaoinsrdlhucmfpgwybvkxzqj"
 #: What a row of a line carries to tell near lines from others: its length and those counts.
 CARRIED = ("n", *[f"c{i}" for i in range(len(COUNTED))])
 
