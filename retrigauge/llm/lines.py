@@ -235,13 +235,17 @@ def _again(rows: DataFrame, texts: DataFrame, edits: int, level: int) -> DataFra
     return out.select("x.key", "id", "x.mask", "x.a", "x.b", *CARRIED)
 
 
-def _paired(rows: DataFrame, edits: int) -> DataFrame:
-    """(x, y), x < y: ids of one key of which one is in place at every level, as long and with as many of each character as near lines are."""
-    other = rows.select(*[F.col(c).alias(f"{c}_") for c in ("key", "id", "mask", *CARRIED)])
-    few = F.abs(F.col("n") - F.col("n_")) <= edits
-    apart = sum((F.abs(F.col(c) - F.col(f"{c}_")) for c in CARRIED[1:]), F.lit(0)) <= 2 * edits
-    found = rows.join(other, (F.col("key") == F.col("key_")) & (F.col("id") < F.col("id_")) & (F.col("mask").bitwiseAND(F.col("mask_")) == 0) & few & apart)
-    return found.select(F.col("id").alias("x"), F.col("id_").alias("y"))
+def _paired(rows: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(x, y), x < y: ids of one key of which one is in place at every level and whose lines are `edits` apart at most.
+
+    What near lines cannot differ in (length, characters) is asked first, then Spark's compiled and
+    banded levenshtein, all within the join: only near pairs leave it.
+    """
+    held = rows.select("key", "id", "mask", *CARRIED).join(texts.select("id", "line"), "id")
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    apart = sum((F.abs(l(c) - r(c)) for c in CARRIED[1:]), F.lit(0)) <= 2 * edits
+    near = (l("id") < r("id")) & (l("mask").bitwiseAND(r("mask")) == 0) & (F.abs(l("n") - r("n")) <= edits) & apart & (F.levenshtein(l("line"), r("line"), edits) >= 0)
+    return held.alias("l").join(held.alias("r"), (l("key") == r("key")) & near).select(l("id").alias("x"), r("id").alias("y"))
 
 
 def candidates(live: DataFrame, texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -256,7 +260,7 @@ def candidates(live: DataFrame, texts: DataFrame, edits: int = EDITS, min_chars:
         rows = written(rows, "keys")
         many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > HOT)
         last = level == LEVELS or not many.limit(1).count()
-        found = _paired(rows if last else rows.join(many, "key", "left_anti"), edits)
+        found = _paired(rows if last else rows.join(many, "key", "left_anti"), texts, edits)
         out = found if out is None else out.union(found)
         if last:
             return out.distinct()
@@ -346,8 +350,8 @@ def near_pairs(docs: DataFrame, unique: DataFrame, edits: int = EDITS, min_chars
     held = texts.select("id", "h2", "first", "n", "line")
     found = found.join(side(held, "a"), F.col("x") == F.col("id_a")).join(side(held, "b"), F.col("y") == F.col("id_b"))
     least = allowed(F.least("n_a", "n_b"), edits)
-    # Spark's levenshtein, banded too and compiled, puts aside the pairs that are far from near; bit vectors decide on the rest.
-    found = found.where((F.abs(F.col("n_a") - F.col("n_b")) <= least) & (F.levenshtein("line_a", "line_b", edits) >= 0))
+    # Bit vectors decide.
+    found = found.where(F.abs(F.col("n_a") - F.col("n_b")) <= least)
     found = found.where(distance(F.col("line_a"), F.col("line_b"), edits) <= least)
     return found.select(F.col("id_a").alias("a1"), F.col("h2_a").alias("a2"), F.col("id_b").alias("b1"), F.col("h2_b").alias("b2"), "first_a", "first_b")
 
