@@ -29,8 +29,16 @@ def _scores(idf: str) -> str:
 FROM bq JOIN tf USING (term) JOIN dfs USING (term), st GROUP BY query_id, doc_id)"""
 
 
+def _padded(scores: str, into: str) -> str:
+    """Every document's rank for every query: those without a hit have score 0."""
+    return f"""{into} AS (
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+FROM (SELECT query_id, doc_id, coalesce(score, 0.0::DOUBLE) AS score
+      FROM (SELECT DISTINCT item_id AS query_id FROM benchmark) CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN {scores} USING (query_id, doc_id)))"""
+
+
 BM25_SQL = f"""{POSTINGS}, {_scores(PLUS1)},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
+{_padded('sc', 'ranked')}"""
 
 
 @query("op40_bm25_index", f"WITH {POSTINGS} SELECT term, df, round({PLUS1}, 6) AS idf FROM dfs, st")
@@ -111,10 +119,10 @@ def logits(t: Tables, every: bool = False) -> tuple[DataFrame, DataFrame]:
 SPARSE = f"""{POSTINGS}, dw AS (SELECT doc_id, term, ln(1 + greatest(tf - 1.5::DOUBLE, 0)) AS w FROM tf WHERE tf > 1 AND term IN (SELECT term FROM btok)),
 qw AS (SELECT query_id, term, ln(1 + greatest(qtf - 0.5::DOUBLE, 0)) AS wq FROM bq),
 sp AS (SELECT query_id, doc_id, round(CAST(sum(CAST(wq * w AS DECIMAL(38, 12))) AS DOUBLE), 6) AS score FROM qw JOIN dw USING (term) GROUP BY query_id, doc_id),
-spr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sp)"""
+{_padded('sp', 'spr')}"""
 
 
-@query("op48_sparse_encode", f"WITH {SPARSE} SELECT doc_id, term, round(w, 6) AS weight FROM dw")
+@query("op48_sparse_encode", f"WITH {SPARSE.replace(' AND term IN (SELECT term FROM btok)', '')} SELECT doc_id, term, round(w, 6) AS weight FROM dw")
 def op48(spark, d):
     return R.sparse_encode(logits(Tables(spark, d), every=True)[0]).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
