@@ -14,6 +14,8 @@ from .shared import table, text_or_empty, written
 MIN_CHARS = 32
 #: The queries look at all lines but blank ones (white space only): equal lines of any length go.
 ALL_LINES = 1
+#: White space: a line of nothing else is blank.
+BLANKS = " \t\n\x0b\f\r"
 #: Shortest line at which one edit still means a near copy; shorter ones are compared by hash alone.
 NEAR_CHARS = 16
 #: Shortest line with the full number of edits; from NEAR_CHARS up to here it is one at most.
@@ -45,7 +47,7 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """did, th (document key), pos, line, n, h1, h2 of every line of min_chars or more that is not blank."""
     did, th = document_key()
     lines = docs.select(did.alias("did"), th.alias("th"), F.posexplode(F.split(text_or_empty(), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("n", F.char_length("line")).where((F.col("n") >= min_chars) & F.col("line").rlike(r"\S"))
+    lines = lines.withColumn("n", F.char_length("line")).where((F.col("n") >= min_chars) & (F.ltrim("line", F.lit(BLANKS)) != ""))
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
