@@ -557,3 +557,10 @@ def test_warc_salvage_of_mixed_files():
     # without a digest nothing proves a record of a damaged member
     bare = warc.member(2 * b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
     assert read(bare[:-3]) == [b"abc", b"abc"] and read(damage(bare, len(bare) - 6)) == []
+
+
+def test_blank_lines_are_those_of_white_space(spark):
+    texts = [chr(c) + x for c in range(0x3001) for x in ("", lines.BLANKS)] + ["", lines.BLANKS]
+    df = spark.createDataFrame([(t,) for t in texts], "line string")
+    blank = F.ltrim("line", F.lit(lines.BLANKS)) == ""
+    assert df.where(blank == F.col("line").rlike(r"\S")).count() == 0
