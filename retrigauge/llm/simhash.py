@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_batches, table, text_or_empty, written
+from .shared import merged, small_batches, table, text_or_empty, written
 
 SHINGLE, SEED, NEAR = 4, 42, 4
 SALTS = 8
@@ -75,7 +75,8 @@ def links(prints: DataFrame, n: int) -> DataFrame:
         probe = prints.select(key.bitwiseOR(tag).alias("at"), F.col("fp").alias("a"), F.explode(masks).alias("m")).select(F.col("at").bitwiseXOR(F.col("m")).alias("key"), "a")
         index, probes = (part, probe) if index is None else (index.union(part), probes.union(probe))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= NEAR)
-    found = probes.join(index, (probes["key"] == index["key"]) & near)
+    # Spark takes the probes for as small as the files they are exploded from, and would send them whole through the driver.
+    found = probes.hint("merge").join(index, (probes["key"] == index["key"]) & near)
     return found.select("a", "b").distinct()
 
 
@@ -88,7 +89,8 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     """
     prints = written(prints, "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
-    comps = components(links(nodes.select("fp"), nodes.count()))
+    n = nodes.count()
+    comps = merged(components(links(nodes.select("fp"), n)), n)
     held = nodes.join(comps, nodes["fp"] == comps["node"], "left").select("fp", "low", "n", "component")
     lows = held.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))
     shared = held.where("n > 1 or component is not null").join(lows, "component", "left").select("fp", F.coalesce("least", "low").alias("least"), F.coalesce("component", "fp").alias("root"))

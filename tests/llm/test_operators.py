@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from retrigauge.llm import attribution, chat, components, fingerprint, language, lines, media, mixing, packing, simhash, warc
+from retrigauge.llm import attribution, chat, components, fingerprint, language, lines, media, mixing, packing, shared, simhash, warc
 from retrigauge.llm.shared import table, written
 from retrigauge.llm.tokens import WordTokenizer, default_path
 
@@ -379,6 +379,19 @@ def test_simhash_components(spark, odd):
     assert sorted((str(r.doc_id), r.text) for r in simhash.keep_first(repeated).collect()) == [("1", t), ("3", u), ("4", "a third"), ("None", "no id")]
 
 
+def test_links_send_no_probes_through_the_driver(spark):
+    prints = written(spark.range(50).select((F.col("id") * 7).alias("fp")), "prints")
+    assert "Broadcast" not in simhash.links(prints, 50)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(shared, "WHOLE_ROWS", 3)
+    found = components.components(spark.createDataFrame([(i, i + 1) for i in range(1, 9)] + [(20, 21)], "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == dict.fromkeys(range(1, 10), 1) | {20: 20, 21: 20}
+    edges = shared.merged(spark.range(9), 4).join(spark.range(9), "id")
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_a_long_path(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (5, 5), (None, 1)], "a long, b long")
