@@ -89,6 +89,7 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Da
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+        t.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
 

@@ -7,7 +7,11 @@ against the tokenizer in the tests); all others go to the tokenizer itself.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
+import re
 from collections.abc import Iterator
 from itertools import accumulate, chain, pairwise
 
@@ -23,6 +27,9 @@ CACHE_WORDS, CACHE_PIECES = 350_000, 150_000
 _PLAIN = regex.compile("[!-~¡¿-ÖØ-öø-ÿ]+")
 #: The vocabulary's pre-token pattern.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same over joined plain words: each line break is a match of its own.
+_PIECES = regex.compile(_PIECE.pattern + r"|\n")
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|\n")
 _END = "</w>"
 
 
@@ -33,6 +40,15 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _gathered(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the entries of lists `at` stand, in order, if list i is starts[i] to starts[i + 1]; entries per list."""
+    first = starts[at]
+    counts = starts[at + 1] - first
+    shift = np.repeat((first - np.cumsum(counts) + counts).astype(np.int32), counts)
+    shift += np.arange(len(shift), dtype=np.int32)
+    return shift, counts
+
+
 class WordTokenizer:
     """ids and character spans of words; spans count code points from the word's start."""
 
@@ -43,15 +59,30 @@ class WordTokenizer:
         self.slow = Tokenizer.from_file(path)
         self.slow.encode_special_tokens = True
         self.merger = self._merger(path)
-        self.pieces: dict[str, list[int]] = {}
+        self.clear_pieces()
         self.clear()
 
+    def clear_pieces(self) -> None:
+        """Piece 0 is the line break between words, which has no ids."""
+        self.pieces: dict[str, int] = {"\n": 0}
+        self.piece_ids = np.zeros(0, np.uint32)
+        self.piece_starts = np.zeros(2, np.int64)
+
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
         self.span_start = self.span_end = np.zeros(0, np.int32)
 
+    def release(self) -> None:
+        """Caches empty and their memory back to the machine: idle workers live on beside the stages that follow."""
+        self.clear_pieces()
+        self.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
     def _merger(self, path: str):
         """The same merges for tiktoken: a word's end is the byte 255, which no UTF-8 text has."""
         import tiktoken
@@ -77,26 +108,40 @@ class WordTokenizer:
         return core._core_bpe.encode_single_piece
 
     def encode(self, word: str) -> list[int]:
-        if word.isalpha() and word.isascii():
-            return self._piece(word.lower())
-        if _PLAIN.fullmatch(word):
-            out: list[int] = []
-            for piece in _PIECE.findall(word.lower()):
-                out += self._piece(piece)
-            return out
-        return self.slow.encode(word, add_special_tokens=False).ids
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
-            ids = self.pieces[piece] = list(self.merger(piece.encode() + b"\xff"))
-        return ids
+        if not self.plain(word):
+            return self.slow.encode(word, add_special_tokens=False).ids
+        return [i for piece in _PIECE.findall(word.lower()) for i in self.merger(piece.encode() + b"\xff")]
+
+    @staticmethod
+    def plain(word: str) -> bool:
+        """Printable ASCII (words have no blanks), or such with letters of Latin-1."""
+        return word.isprintable() if word.isascii() else bool(_PLAIN.fullmatch(word))
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of plain words in order, ids per word: one search for the pieces of all words, one encoding per distinct piece."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        joined = "\n".join(words).lower()
+        found = (_ASCII_PIECES if joined.isascii() else _PIECES).findall(joined)
+        if len(self.pieces) >= CACHE_PIECES:
+            self.clear_pieces()
+        pieces = self.pieces
+        new = [x for x in set(found) if x not in pieces]
+        if new:
+            merger = self.merger
+            encoded = [merger(x.encode() + b"\xff") for x in new]
+            pieces.update(zip(new, range(len(pieces), len(pieces) + len(new)), strict=True))
+            self.piece_starts = np.concatenate([self.piece_starts, np.cumsum(np.fromiter(map(len, encoded), np.int64, len(new))) + len(self.piece_ids)])
+            self.piece_ids = np.concatenate([self.piece_ids, np.fromiter(chain.from_iterable(encoded), np.uint32)])
+        at = np.fromiter(map(pieces.__getitem__, found), np.int64, len(found))
+        shift, counts = _gathered(self.piece_starts, at)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.append(total[np.flatnonzero(at == 0)], total[-1])
+        return self.piece_ids[shift], np.diff(ends, prepend=0)
 
     def spans(self, word: str, ids: list[int]) -> list[tuple[int, int]]:
         """[start, end) of each id in code points of the word; bytes of one character share its span."""
-        if not _PLAIN.fullmatch(word):
+        if not self.plain(word):
             return self.slow.encode(word, add_special_tokens=False).offsets
         ends = list(accumulate(map(self.width.__getitem__, ids), initial=0))
         if not word.isascii():  # bytes to characters
@@ -112,28 +157,32 @@ class WordTokenizer:
             known = self.known
         new = [w for w in words if w not in known]
         if new:
-            encoded = [self.encode(w) for w in new]
+            plain = [w for w in new if self.plain(w)]
+            others = [w for w in new if not self.plain(w)] if len(plain) < len(new) else []
+            new = plain + others
+            ids, counts = self._encode_plain(plain)
+            slow = [self.encode(w) for w in others]
+            counts = np.concatenate([counts, np.fromiter(map(len, slow), np.int64, len(slow))])
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(new))) + len(self.flat)
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(encoded), np.uint32, int(ends[-1]) - len(self.flat))])
-            self.starts = np.concatenate([self.starts, ends])
+            self.starts = np.concatenate([self.starts, np.cumsum(counts) + len(self.flat)])
+            self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(slow), np.uint32)])
             if self.with_spans:
-                self._add_spans(new, encoded)
+                self._add_spans(new, counts)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def _add_spans(self, new: list[str], encoded: list[list[int]]) -> None:
+    def _add_spans(self, new: list[str], counts: np.ndarray) -> None:
         """Spans of new words: where every character is one byte of a token, running sums of widths for all words at once."""
-        counts = np.fromiter(map(len, encoded), np.int64, len(new))
         first = np.cumsum(counts) - counts
-        width = self.widths[self.flat[len(self.flat) - int(counts.sum()) :]]
+        ids = self.flat[len(self.flat) - int(counts.sum()) :]
+        width = self.widths[ids]
         total = np.concatenate([[0], np.cumsum(width)])
         end = total[1:] - np.repeat(total[first], counts)
         start = end - width
         wide = total[first + counts] - total[first]
-        for i, (w, ids) in enumerate(zip(new, encoded, strict=True)):
-            if not (w.isascii() and wide[i] == len(w)) and ids:
-                at = slice(int(first[i]), int(first[i]) + len(ids))
-                start[at], end[at] = zip(*self.spans(w, ids), strict=True)
+        for i, w in enumerate(new):
+            if not (w.isascii() and wide[i] == len(w)) and counts[i]:
+                at = slice(int(first[i]), int(first[i] + counts[i]))
+                start[at], end[at] = zip(*self.spans(w, ids[at].tolist()), strict=True)
         self.span_start = np.concatenate([self.span_start, start.astype(np.int32)])
         self.span_end = np.concatenate([self.span_end, end.astype(np.int32)])
 
@@ -152,11 +201,7 @@ class WordTokenizer:
         if not len(coded):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), first_words
         places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        first = self.starts[places]
-        counts = self.starts[places + 1] - first
-        shift = np.repeat((first - np.cumsum(counts) + counts).astype(np.int32), counts)
-        shift += np.arange(len(shift), dtype=np.int32)
-        return shift, counts, first_words
+        return *_gathered(self.starts, places), first_words
 
     def ids(self, text: str) -> np.ndarray:
         return self.batch([text])[0]

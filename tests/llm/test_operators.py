@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from retrigauge.llm import attribution, chat, components, fingerprint, language, lines, media, mixing, packing, shared, simhash, warc
+from retrigauge.llm import attribution, chat, components, fingerprint, language, lines, media, mixing, packing, shared, simhash, tokens, warc
 from retrigauge.llm.shared import table, written
 from retrigauge.llm.tokens import WordTokenizer, default_path
 
@@ -176,6 +176,24 @@ def test_tokens_equal_the_tokenizer():
         assert t.ids(x).tolist() == want.ids
 
 
+def test_plain_words_are_encoded_at_once(monkeypatch):
+    texts = ["It's l'été, isn't IT?  42 x_y\x7f", "", " ÀB don't!! ß×÷ naïve ", "日本 it's\x01 ok ok"]
+    t = WordTokenizer(default_path())
+    want = [t.slow.encode(x, add_special_tokens=False).ids for x in texts]
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
+    assert [t.ids(x).tolist() for x in texts] * 2 == [t.ids(x).tolist() for x in texts] + want
+    t.release()
+    monkeypatch.setattr(t, "encode", None)  # word by word: for words that are not plain alone
+    assert t.ids("It's l'été, isn't IT? 42 x_y").tolist() == t.slow.encode("It's l'été, isn't IT? 42 x_y", add_special_tokens=False).ids
+
+
+def test_idle_workers_keep_no_words(spark):
+    t = WordTokenizer(default_path())
+    t.ids("some words to keep")
+    t.release()
+    assert not t.known and len(t.pieces) == 1 and not len(t.flat) and t.ids("some words").tolist() == t.slow.encode("some words", add_special_tokens=False).ids
+
+
 def test_packing_covers_every_id(spark, odd):
     for docs in (odd, table(spark, str(DATA), "documents")):
         t = WordTokenizer(default_path())
