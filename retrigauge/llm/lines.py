@@ -28,9 +28,11 @@ HOT, LEVELS = 64, 2
 #: Words of 64 bits of the filter that spares most lines' texts the shuffle of candidates. It may let more pass, never fewer.
 FILTER_WORDS = 1 << 16
 #: Characters whose counts, apart by more than two an edit, tell that two lines are not near (any choice is exact).
-COUNTED = "etaoinsrdlhucmfpgwybvkxzqj"
-#: What a row of a line carries to tell near lines from others: its length and those counts.
-CARRIED = ("n", *[f"c{i}" for i in range(len(COUNTED))])
+COUNTED = ("etaoinsrdlhuc", "mfpgwybvkxzqj")
+#: What a row of a line carries to tell near lines from others: its length and a word for each group of those counts.
+CARRIED = ("n", "c0", "c1")
+#: Four bits for each count modulo eight, of which one changes when the count does by one.
+WHEEL = 0x8CEF7310
 
 
 # --- lines and their order -----------------------------------------------------------------------
@@ -75,6 +77,11 @@ def _left(i: int, edits: int) -> bool:
     return i <= edits - i
 
 
+def _beside(i: int, edits: int) -> int:
+    """Edits at most in what _rest keeps beside segment i (see shapes): right of one counted from the left, left of the others."""
+    return edits - i if _left(i, edits) else i
+
+
 def segment_size(n: Column, edits: int) -> Column:
     """Characters of a segment of a line of n: alike for all lengths of a class, of which an octave has four."""
     step = F.call_function("shiftleft", F.lit(1), F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int") - 2, F.lit(0)))
@@ -192,33 +199,51 @@ def texts_of(docs: DataFrame, wanted: DataFrame, min_chars: int = MIN_CHARS) ->
 
 
 def _counts(line: Column) -> list[Column]:
-    """How often a line has each of these ASCII characters: an edit changes the numbers by two in all at most."""
-    return [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))).alias(c) for c, x in zip(CARRIED[1:], COUNTED, strict=True)]
+    """How often a line has each of these ASCII characters, as bits: an edit changes two of them in all at most."""
+    out = []
+    for name, group in zip(CARRIED[1:], COUNTED, strict=True):
+        bits = F.lit(0).cast("long")
+        for at, x in enumerate(group):
+            count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))
+            code = F.call_function("shiftrightunsigned", F.lit(WHEEL).cast("long"), count.bitwiseAND(F.lit(7)) * 4).bitwiseAND(F.lit(15).cast("long"))
+            bits = bits.bitwiseOR(F.shiftleft(code, 4 * at))
+        out.append(bits.alias(name))
+    return out
 
 
 def _rest(rows: DataFrame, texts: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """key, id, mask, a, b, n and counts for live rows(key, id, code): what is right of a segment counted from the left, or left of the others.
+    """key, id, mask, a, b, edits, n and counts for live rows(key, id, code): what is right of a segment counted from the left, or left of the others.
 
     mask has a bit for every level at which the row is a moved substring; a pair needs one side in place at each.
+    edits is the number that the parts from a to b of a near pair may be apart, alike for all rows of a key.
     """
     n, half = F.col("n"), len(shapes(edits))
     size = _sizes(F.when(F.col("code") < half, n).otherwise(shorter(n, edits, min_chars)), edits)
     held = rows.join(texts.select("id", "n", *_counts(F.col("line"))), "id").withColumn("size", size)
-    a = b = F.lit(None).cast("int")
+    a = b = few = F.lit(None).cast("int")
     for j, (i, shift) in enumerate(shapes(edits)):
         here = F.pmod(F.col("code"), F.lit(half)) == j
         at = _start(n, F.col("size"), i, shift, edits)
         a = F.when(here, at + F.col("size") if _left(i, edits) else F.lit(0)).otherwise(a)
         b = F.when(here, n if _left(i, edits) else at).otherwise(b)
-    return held.select("key", "id", F.when(F.col("code") <= edits, 0).otherwise(1).alias("mask"), a.alias("a"), b.alias("b"), *CARRIED)
+        few = F.when(here, _beside(i, edits)).otherwise(few)
+    return held.select("key", "id", F.when(F.col("code") <= edits, 0).otherwise(1).alias("mask"), a.alias("a"), b.alias("b"), few.alias("edits"), *CARRIED)
 
 
 def _again(rows: DataFrame, texts: DataFrame, edits: int, level: int) -> DataFrame:
-    """rows(key, id, mask, a, b) with their line's part from a to b cut into segments anew, under their key."""
+    """rows(key, id, mask, a, b, edits) with their line's part from a to b cut into segments anew, under their key: one more than its edits."""
     n = F.col("b") - F.col("a")
-    part = rows.join(texts.select("id", "line"), "id").select("key", "id", "mask", "a", "b", *CARRIED, n.alias("size"), F.substring("line", F.col("a") + 1, n).alias("line"))
-    n, line = F.col("size"), F.col("line")
-    found = []
+    part = rows.join(texts.select("id", "line"), "id").select("key", "id", "mask", "a", "b", "edits", *CARRIED, n.alias("size"), F.substring("line", F.col("a") + 1, n).alias("line"))
+    found = F.when(F.col("edits") == edits, _parts(edits, level))
+    for few in range(edits - 1, 0, -1):
+        found = found.when(F.col("edits") == few, _parts(few, level))
+    out = part.select("id", *CARRIED, F.explode(F.filter(found, lambda x: x["key"].isNotNull())).alias("x"))
+    return out.select("x.key", "id", "x.mask", "x.a", "x.b", "x.edits", *CARRIED)
+
+
+def _parts(edits: int, level: int) -> Column:
+    """Array of (key, mask, a, b, edits) for each of shapes(edits) of a part(line, size) that may be `edits` apart, by its own class and that of shorter parts."""
+    n, line, found = F.col("size"), F.col("line"), []
     for own, m in ((True, n), (False, F.greatest(n - edits, F.lit(0)))):
         size = segment_size(m, edits)
         more = F.lit(True) if own else size != segment_size(n, edits)
@@ -232,9 +257,9 @@ def _again(rows: DataFrame, texts: DataFrame, edits: int, level: int) -> DataFra
                 key = key.when(more & (size == 0), F.xxhash64(F.col("key"), F.lit(-1)))
             a = F.when(size == 0, F.col("a")).otherwise(at + size if _left(i, edits) else F.col("a"))
             b = F.when(size == 0, F.col("b")).otherwise(F.col("b") if _left(i, edits) else at)
-            found.append(F.struct(key.alias("key"), F.col("mask").bitwiseOR(moved).alias("mask"), a.cast("int").alias("a"), b.cast("int").alias("b")))
-    out = part.select("id", *CARRIED, F.explode(F.filter(F.array(*found), lambda x: x["key"].isNotNull())).alias("x"))
-    return out.select("x.key", "id", "x.mask", "x.a", "x.b", *CARRIED)
+            few = F.when(size == 0, edits).otherwise(_beside(i, edits))
+            found.append(F.struct(key.alias("key"), F.col("mask").bitwiseOR(moved).alias("mask"), a.cast("int").alias("a"), b.cast("int").alias("b"), few.alias("edits")))
+    return F.array(*found)
 
 
 def _paired(rows: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -245,7 +270,7 @@ def _paired(rows: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """
     held = rows.select("key", "id", "mask", *CARRIED).join(texts.select("id", "line"), "id")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    apart = sum((F.abs(l(c) - r(c)) for c in CARRIED[1:]), F.lit(0)) <= 2 * edits
+    apart = sum((F.bit_count(l(c).bitwiseXOR(r(c))) for c in CARRIED[1:]), F.lit(0)) <= 2 * edits
     near = (l("id") < r("id")) & (l("mask").bitwiseAND(r("mask")) == 0) & (F.abs(l("n") - r("n")) <= edits) & apart & (F.levenshtein(l("line"), r("line"), edits) >= 0)
     return held.alias("l").join(held.alias("r"), (l("key") == r("key")) & near).select(l("id").alias("x"), r("id").alias("y"))
 

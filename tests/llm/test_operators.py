@@ -522,6 +522,15 @@ def test_edit_join_of_hot_keys(spark, monkeypatch, edits, levels):
     assert _near(docs, edits, 1) == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if abs(len(a) - len(b)) <= edits and _distance(a, b) <= most(min(len(a), len(b)))}
 
 
+def test_rests_of_hot_keys_are_cut_by_their_own_edits(spark):
+    line = "".join(random.Random(5).choices("abcdefgh", k=80))
+    texts = spark.createDataFrame([(1, line, len(line))], "id long, line string, n int")
+    live = spark.createDataFrame([(10 + c, 1, c) for c in range(8)], "key long, id long, code int")
+    again = lines._again(lines._rest(live, texts, 3, 1), texts, 3, 1).collect()
+    # Two of eight keys leave three edits beside them (8 substrings and 4 of another class), six leave two (5 and more); cut for three, all made 96.
+    assert len(again) == 66
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_bit_parallel_distance(spark, edits):
     r = random.Random(edits)
