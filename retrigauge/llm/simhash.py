@@ -92,9 +92,10 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     n = nodes.count()
     comps = merged(components(links(nodes.select("fp"), n)), n)
     held = nodes.join(comps, nodes["fp"] == comps["node"], "left").select("fp", "low", "n", "component")
-    lows = held.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))
+    lows = merged(held.where("component is not null").groupBy("component").agg(F.min("low").alias("least")), n)
     shared = held.where("n > 1 or component is not null").join(lows, "component", "left").select("fp", F.coalesce("least", "low").alias("least"), F.coalesce("component", "fp").alias("root"))
-    shared = shared.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    # Spark takes the salted rows for as small as those they are exploded from, here too.
+    shared = merged(shared.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), n * SALTS)
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return salted.join(shared, ["fp", "salt"], "left").select(*prints.columns, F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
 

@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from retrigauge.llm import registry
+from retrigauge.llm import registry, shared
 from retrigauge.llm.shared import table
 
 from ..conftest import DATA
@@ -37,6 +37,29 @@ def test_null_and_empty_tables(spark):
         assert stage(spark, empty, str(DATA)).count() == 0
 
 
+def test_near_dedup_sends_nothing_through_the_driver_by_file_size(spark, monkeypatch):
+    monkeypatch.setattr(shared, "WHOLE_ROWS", 0)  # every table counts as large
+    key = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")  # joins that turn to a broadcast by what a shuffle has held are not meant
+    try:
+        words = [f"w{i * i % 977}" for i in range(400)]
+        rows = [(k, " ".join([*words, *[f"end{k}"] * (k > 0)]), "s", "en", 0) for k in range(6)] + [(9, "another text of its own", "s", "en", 0)]
+        docs = shared.written(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long"), "docs")
+        store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+        bus.waitUntilEmpty()
+        seen = {x.executionId() for x in _listed(store.executionsList())}
+        assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, str(DATA)).collect()) == [0, 9]
+        bus.waitUntilEmpty()
+        plans = [x.physicalPlanDescription() for x in _listed(store.executionsList()) if x.executionId() not in seen]
+        assert len(plans) > 8 and not [x for x in plans if "BroadcastExchange" in x]
+    finally:
+        spark.conf.unset(key)
+
+
+def _listed(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_rows(spark, duck, name):
     got = registry.QUERIES[name](spark, str(DATA))
