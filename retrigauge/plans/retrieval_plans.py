@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,7 +130,8 @@ def op48(spark, d):
 
 def sparse(t: Tables, k: int) -> DataFrame:
     p, q = logits(t)
-    return R.sparse_retrieve(t.corpus, R.sparse_encode(p), R.sparse_encode(q), t.questions, k)
+    found = R.sparse_counts_retrieve(t.corpus, R.sparse_encode(q), t.questions, k, lambda tf: np.log1p(np.maximum(tf - 1.5, 0)))
+    return found if found is not None else R.sparse_retrieve(t.corpus, R.sparse_encode(p), R.sparse_encode(q), t.questions, k)
 
 
 @query("op49_sparse_top_k", f"WITH {SPARSE} SELECT query_id, doc_id, score, rank FROM spr WHERE rank <= {K}")

@@ -249,3 +249,52 @@ def test_query_styles_equal_the_sql(spark, duck):
     texts = ["isé der", "Is der", "iſ der", "ıs der", "is_x", "didé nicht das alles was", "How", "was? ", "a\x0bb c d e f", "is\x85", "Über Öl", "x \x85"]
     got = [r.s for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").orderBy("i").select(text.query_style(F.col("t")).alias("s")).collect()]
     assert got == [duck.execute(f"SELECT {style_sql('t')} FROM (SELECT $1::VARCHAR AS t)", [x]).fetchone()[0] for x in texts]
+
+
+def _random_corpus(spark, docs, queries, words, seed, kind="long"):
+    import random
+
+    r = random.Random(seed)
+    name = (lambda i: f"d{i}") if kind == "string" else int
+    some = lambda n: " ".join(f"w{min(int(r.expovariate(0.2)), words)}" for _ in range(n))
+    corpus = [(name(i), "", some(r.randint(0, 30)) + (" w0" if i else "")) for i in r.sample(range(docs * 3), docs)]
+    asked = [(i, some(r.randint(0, 12))) for i in range(queries)]
+    return spark.createDataFrame(corpus, f"doc_id {kind}, title string, text string").repartition(3), spark.createDataFrame(asked, "query_id int, query string")
+
+
+@pytest.mark.parametrize("kind,queries,cells", [("long", 30, 2_000_000), ("string", 30, 2_000_000), ("long", 300, 5_000)])
+def test_scores_in_blocks_equal_joined_postings(spark, monkeypatch, kind, queries, cells):
+    from retrigauge.operators import blocks
+
+    corpus, asked = _random_corpus(spark, 400, queries, 60, queries, kind)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    found = {v: rows(retrieval.bm25_best(corpus, asked, 7, v, hits_only=v == "okapi")) for v in retrieval.VARIANTS}
+    index = retrieval.bm25_index(corpus, variant="okapi")
+    assert found["okapi"] == rows(ranking.top_k(retrieval.bm25_scores(index, asked), 7))
+    assert any(x[3] < 0 for x in found["okapi"]) or index.mean.first()["mean"] > 0
+    monkeypatch.setattr(blocks, "MOST_QUERIES", 3)
+    assert retrieval.bm25_best(corpus, asked, 7) is None
+    assert found["plus1"] == rows(retrieval.bm25_retrieve(corpus, asked, 7))
+    assert len(found["plus1"]) == 7 * queries
+
+
+def test_block_sums_are_exact_beyond_doubles():
+    import numpy as np
+
+    from retrigauge.operators import blocks
+
+    left = np.array([[2.0**52 + 1, 2.0**52 + 3, -(2.0**52) - 1]])
+    assert blocks._sums(left, np.array([[1.0], [1.0], [0.0]])).tolist() == [[2**53 + 4]]
+    assert blocks._sums(left * 1.0, np.array([[1.0], [0.0], [1.0]])).tolist() == [[0]]
+
+
+def test_retrieval_shuffles_no_postings(spark, capsys):
+    corpus, asked = _random_corpus(spark, 50, 5, 60, 1)
+    plans = [retrieval.bm25_retrieve(corpus, asked, 3), retrieval.sparse_counts_retrieve(corpus, retrieval.query_terms(asked).select(F.col("query_id").alias("doc_id"), "term", F.col("qtf").alias("weight")), asked, 3, lambda tf: tf)]
+    for df in plans:
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "hashpartitioning(query_id" in plan and "hashpartitioning(doc_id" not in plan
+    assert plans[1].count() == 15
+    assert retrieval.bm25_retrieve(corpus.limit(0), asked, 3).count() == 0
+    assert retrieval.bm25_retrieve(corpus, asked.where("query_id < 0"), 3).count() == 0
