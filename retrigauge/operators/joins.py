@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap_set
+from . import blocks
 from .sizes import bounded, small
 
 
-def token_pairs(queries: DataFrame, corpus: DataFrame, least: int) -> DataFrame:
-    """Pairs of query and document sharing `least` tokens or more, with all columns of both and `shared`.
+def token_counts(queries: DataFrame, corpus: DataFrame, least: int) -> DataFrame:
+    """query_id, doc_id, shared: pairs of query and document sharing `least` tokens or more.
 
-    A theta join as an equi-join: the query side is exploded to tokens (broadcast if checked small)
-    and counts are combined per document before the shuffle. Text joins again only for pairs that hold.
+    Counted where the documents are, so only pairs that hold leave the scan; more queries than go to
+    every task join exploded tokens, and counts are combined by pair.
     """
     q = queries.select("query_id", F.explode(overlap_set(F.col("query"))).alias("token"))
+    stated = blocks.stated(queries, q.select("query_id", F.col("token").alias("term"), F.lit(1.0).alias("weight")))
+    if stated is not None:
+        return blocks.sharing(corpus.select("doc_id", overlap_set(F.col("text")).alias("tokens")), stated, least)
     d = corpus.select("doc_id", F.explode(overlap_set(F.col("text"))).alias("token"))
-    pairs = d.join(small(q), "token").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-    return pairs.join(small(queries), "query_id").join(corpus, "doc_id")
+    return d.join(small(q), "token").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+
+
+def token_pairs(queries: DataFrame, corpus: DataFrame, least: int) -> DataFrame:
+    """token_counts with all columns of query and document: texts join again only for pairs that hold."""
+    return token_counts(queries, corpus, least).join(corpus, "doc_id").join(small(queries), "query_id")
 
 
 def merged_corpus(clean: DataFrame, attacks: DataFrame, replace: bool = True, most: int | None = None) -> DataFrame:

@@ -205,7 +205,7 @@ def op63(spark, d):
 @query("op64_overlap_pairs", f"WITH {PAIRS_SQL} SELECT query_id, doc_id, shared FROM pairs")
 def op64(spark, d):
     t = Tables(spark, d)
-    return joins.token_pairs(t.questions, t.corpus, 20).select("query_id", "doc_id", "shared")
+    return joins.token_counts(t.questions, t.corpus, 20)
 
 
 @query("op65_composite_key", "SELECT d.doc_id AS original_id, d.source AS technique, d.lang AS family FROM documents d")

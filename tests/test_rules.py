@@ -298,3 +298,20 @@ def test_retrieval_shuffles_no_postings(spark, capsys):
     assert plans[1].count() == 15
     assert retrieval.bm25_retrieve(corpus.limit(0), asked, 3).count() == 0
     assert retrieval.bm25_retrieve(corpus, asked.where("query_id < 0"), 3).count() == 0
+
+
+def test_shared_tokens_are_counted_in_place(spark, monkeypatch, capsys):
+    from retrigauge.operators import blocks, joins
+
+    corpus, asked = _random_corpus(spark, 300, 270, 60, 5)
+    corpus = corpus.union(spark.createDataFrame([(9999, "", None)], corpus.schema))
+    rows = lambda df: sorted((r.query_id, r.doc_id, r.shared) for r in df.collect())
+    found = joins.token_counts(asked, corpus, 4)
+    found.explain()
+    assert "hashpartitioning" not in capsys.readouterr().out
+    texts, queries = ({r[0]: set(x.lower().split()) if (x := r[-1]) else set() for r in df.collect()} for df in (corpus, asked))
+    got = rows(found)
+    assert got == sorted((q, d, len(x & y)) for q, x in queries.items() for d, y in texts.items() if len(x & y) >= 4) and got
+    assert sorted(joins.token_pairs(asked, corpus, 4).columns) == ["doc_id", "query", "query_id", "shared", "text", "title"]
+    monkeypatch.setattr(blocks, "MOST_QUERIES", 3)
+    assert rows(joins.token_counts(asked, corpus, 4)) == got
