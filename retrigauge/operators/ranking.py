@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(scored: DataFrame, k: int, by: str = "score", group: str = "query_id", tie: str = "doc_id") -> DataFrame:
+def top_k(scored: DataFrame, k: int, by: str = "score", group: str | list[str] = "query_id", tie: str = "doc_id") -> DataFrame:
     """The k best rows of each group with `rank`; filtering on row_number lets Spark limit groups before the shuffle."""
     w = Window.partitionBy(group).orderBy(F.desc(by), tie)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
